@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("op1_pii", "op2_bitplane", "op5_simhash", "op8_decontaminate")
+MODULES = ("op1_pii", "op2_bitplane", "op3_sharding", "op5_simhash", "op6_mixing", "op8_decontaminate")
 
 
 def _gather(name: str) -> dict:
