@@ -2,71 +2,144 @@
 
 from __future__ import annotations
 
-import array
+import itertools
+import os
 from functools import lru_cache
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 DEFAULT_TOKENIZER = "word_bpe_49k.json"
 CACHE_ENTRIES = 600_000
+HELD_BYTES = 4_000_000
+
+#: ASCII punctuation; an apostrophe before letters may be a contraction for the tokenizer, so none leads.
+PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+LEADING = PUNCTUATION.replace("'", "")
+#: Letters below this have no case mapping that depends on context, but for the dotted capital I, and are stable under NFC.
+PLAIN_END, DOTTED_I = "\u0250", "\u0130"
+SEPARATORS = "\x1c\x1d\x1e\x1f"
 
 
 def tokenizer_path(name: str = DEFAULT_TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+def _plain(core: str) -> bool:
+    return core.isascii() or (max(core) < PLAIN_END and DOTTED_I not in core)
+
+
 class ChunkEncoder:
-    """``encode(text)`` as little-endian ids, remembering space-separated chunks.
+    """Texts to little-endian ids, remembering chunks between white space.
 
-    The tokenizer's pre-tokenizer never crosses white space and its normaliser
+    The tokenizer's pre-tokenizer never crosses white space, and its normaliser
     works on single characters and combining sequences, so a text's ids are
     those of its chunks in order; the tests hold this against whole-text
-    encoding.  A chunk of ASCII letters is looked up in lower case, and a full
-    stop or comma after letters is a token run of its own.  The cache is
-    emptied when full; a miss goes to the library.
+    encoding.  Within a chunk, ASCII punctuation around letters is a token run
+    of its own, and plain letters are looked up in lower case.  Chunks are told apart by Arrow,
+    so Python sees each only once a block of texts.  New words go to
+    the library together, as one text whose words the end-of-word tokens part;
+    any other chunk goes there alone.  The cache is emptied when full.
     """
 
     def __init__(self, path: str, width: int, literal_specials: bool = False, entries: int = CACHE_ENTRIES):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # the tasks are the parallelism
         from tokenizers import Tokenizer
 
         self._tok = Tokenizer.from_file(path)
         self._tok.encode_special_tokens = literal_specials
-        self._code = {2: "H", 4: "I"}[width]
+        vocab = self._tok.get_vocab()
+        self._ends = np.zeros(max(vocab.values()) + 1, bool)
+        self._ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+        self._dtype = np.dtype(f"<u{width}")
         self._entries = entries
         self._cache: dict[str, bytes] = {}
+        self._specials = [t.content for t in self._tok.get_added_tokens_decoder().values()]
 
     def _library(self, chunk: str) -> bytes:
-        return array.array(self._code, self._tok.encode(chunk, add_special_tokens=False).ids).tobytes()
-
-    def _miss(self, chunk: str) -> bytes:
-        if len(self._cache) >= self._entries:
+        return np.array(self._tok.encode(chunk, add_special_tokens=False).ids, self._dtype).tobytes()
+
+    def _learn_words(self, words: list[str]) -> None:
+        """Put words of plain lower-case letters into the cache."""
+        ids = np.array(self._tok.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids if words else [], np.int64)
+        ends = np.flatnonzero(self._ends[ids]) + 1
+        if len(ends) != len(words) or (len(ends) and ends[-1] != len(ids)):  # another kind of vocabulary
+            self._cache.update((w, self._library(w)) for w in words)
+            return
+        flat, size = ids.astype(self._dtype).tobytes(), self._dtype.itemsize
+        at = 0
+        for word, end in zip(words, (ends * size).tolist(), strict=True):
+            self._cache[word] = flat[at:end]
+            at = end
+
+    def _learn(self, chunks: set[str]) -> None:
+        cache, parts, words, runs, alone = self._cache, [], set(), set(), []
+        for chunk in chunks:
+            if chunk.isalpha() and (chunk.isascii() or _plain(chunk)):
+                low = chunk.lower()
+                words.add(low)
+                if low != chunk:
+                    parts.append((chunk, "", low, ""))
+                continue
+            tail = chunk.rstrip(PUNCTUATION)
+            core = tail.lstrip(LEADING)
+            if core.isalpha() and _plain(core) and not (any(x in chunk for x in self._specials)):
+                low = core.lower()
+                lead, end = chunk[: len(tail) - len(core)], chunk[len(tail) :]
+                parts.append((chunk, lead, low, end))
+                words.add(low)
+                runs.add(lead)
+                runs.add(end)
+            else:
+                alone.append(chunk)
+        for chunk in itertools.chain(alone, runs - cache.keys(), {""} - cache.keys()):
+            cache[chunk] = self._library(chunk)
+        self._learn_words(list(words - cache.keys()))
+        for chunk, lead, low, end in parts:
+            cache[chunk] = cache[lead] + cache[low] + cache[end]
+
+    def encode_all(self, texts: pa.Array) -> list[bytes]:
+        """The ids of each text of a string array (null is empty), some million bytes at a time."""
+        texts = pc.fill_null(texts, "")
+        ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
+        out: list[bytes] = []
+        at = 0
+        while at < len(texts):
+            size = ends[at - 1] if at else 0
+            to = max(at + 1, int(np.searchsorted(ends, size + HELD_BYTES)))
+            out += self._encode_held(texts.slice(at, to - at))
+            at = to
+        return out
+
+    def _encode_held(self, texts: pa.Array) -> list[bytes]:
+        # only ASCII is lowered ahead of the tokenizer; what it takes for white space parts other chunks inside
+        texts = pc.if_else(pc.string_is_ascii(texts), pc.ascii_lower(texts), texts)
+        odd = pc.match_substring_regex(texts, f"[{SEPARATORS}]")  # white space for Arrow, none for the tokenizer
+        parted = pc.utf8_split_whitespace(pc.if_else(odd, "", texts))
+        coded = parted.flatten().dictionary_encode()
+        chunks = coded.dictionary.to_pylist()
+        fresh = set(chunks) - self._cache.keys()
+        if len(self._cache) + len(fresh) > self._entries:
             self._cache.clear()
-        ids = None
-        if chunk.isascii():
-            core = chunk[:-1] if chunk[-1:] in (".", ",") else chunk
-            if core.isalpha() and (low := core.lower()) != chunk:
-                ids = self.chunk(low)
-                if core is not chunk:
-                    ids += self.chunk(chunk[-1])
-        if ids is None:
-            ids = self._library(chunk)
-        self._cache[chunk] = ids
-        return ids
-
-    def chunk(self, chunk: str) -> bytes:
-        found = self._cache.get(chunk)
-        return self._miss(chunk) if found is None else found
-
-    def encode(self, text: str) -> bytes:
-        get, miss = self._cache.get, self._miss
-        parts = []
-        for chunk in text.split(" "):
-            ids = get(chunk)
-            parts.append(miss(chunk) if ids is None else ids)
-        return b"".join(parts)
+            fresh = set(chunks)
+        self._learn(fresh)
+        values = list(map(self._cache.__getitem__, chunks))
+        flat = np.frombuffer(b"".join(values), self._dtype)
+        sizes = np.array(list(map(len, values)), np.int64) // self._dtype.itemsize
+        starts = np.cumsum(sizes) - sizes
+        pick = coded.indices.to_numpy()
+        sizes = sizes[pick]
+        to = np.cumsum(sizes)
+        ids = flat[np.repeat(starts[pick] - to + sizes, sizes) + np.arange(to[-1] if len(to) else 0)].tobytes()
+        cuts = np.concatenate([[0], to])[parted.offsets.to_numpy() - parted.offsets[0].as_py()] * self._dtype.itemsize
+        out = [ids[a:b] for a, b in itertools.pairwise(cuts.tolist())]
+        for i in np.flatnonzero(odd.to_numpy(zero_copy_only=False)).tolist():
+            out[i] = self._library(texts[i].as_py())
+        return out
 
 
 @lru_cache(maxsize=2)
@@ -106,12 +179,12 @@ def bucket_of(column, cuts: list):
 
 def token_rows(spark: SparkSession, docs: DataFrame, path: str, end_id: int, width: int, literal_specials: bool) -> DataFrame:
     """``(doc_id, ids binary)``: little-endian ids of ``width`` bytes with ``end_id`` appended; a null text is empty."""
-    end = array.array({2: "H", 4: "I"}[width], [end_id]).tobytes()
+    end = np.array([end_id], f"<u{width}").tobytes()
 
     def run(batches):
         enc = encoder(path, width, literal_specials)
         for batch in batches:
-            ids = [enc.encode(t) + end if t else end for t in batch.column(1).to_pylist()]
+            ids = [x + end for x in enc.encode_all(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "ids"])
 
     bounded_batches(spark)
