@@ -7,7 +7,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("op1_pii", "op2_bitplane", "op3_sharding", "op5_simhash", "op6_mixing", "op8_decontaminate")
+MODULES = (
+    "op1_pii",
+    "op2_bitplane",
+    "op3_sharding",
+    "op4_secrets",
+    "op5_simhash",
+    "op6_mixing",
+    "op7_quality",
+    "op8_decontaminate",
+    "op9_separators",
+    "op10_warc",
+)
 
 
 def _gather(name: str) -> dict:
