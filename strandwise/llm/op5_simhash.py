@@ -13,6 +13,7 @@ is within radius plus ceil(t/2) therefore brings every pair together somewhere.
 from __future__ import annotations
 
 import itertools
+import math
 import os
 from collections.abc import Callable
 from functools import lru_cache
@@ -252,6 +253,185 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, shingle: int = 5, bits
     return fps.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
+# ---- a stated similarity ---------------------------------------------------------------------------------------
+
+WIDE_WORDS = 4
+TABLES = 64
+DIRECT = 4096
+
+
+def wide_fingerprint(text: str | None, shingle: int) -> np.ndarray:
+    """256 bits, as four words, of the set of shingles of a text; blank texts give zeros."""
+    words = text.encode().lower().split() if text else []
+    if not words:
+        return np.zeros(WIDE_WORDS, np.uint64)
+    flat = b" ".join(words)
+    at = list(itertools.accumulate((len(w) + 1 for w in words), initial=0))
+    digest = xxhash.xxh64_intdigest
+    n = max(1, len(words) - shingle + 1)
+    ends = at[shingle:] if len(words) > shingle else at[-1:]
+    hashes = np.unique(np.fromiter((digest(flat[a : b - 1], SEED) for a, b in zip(at, ends)), np.uint64, n))
+    out = np.zeros(WIDE_WORDS, np.uint64)
+    for k in range(WIDE_WORDS):
+        ones = np.zeros(64, np.int64)
+        for i in range(0, len(hashes), 1 << 15):
+            h = hashes[i : i + (1 << 15)] + np.uint64(k * 0x9E3779B97F4A7C15 % 2**64)
+            h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+            h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+            h ^= h >> np.uint64(31)
+            ones += np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        out[k] = np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0]
+    return out
+
+
+def bits_at(similarity: float, bits: int = 64 * WIDE_WORDS) -> int:
+    """Differing bits expected of two sets of equal size with this Jaccard similarity."""
+    return round(bits * math.acos(2 * similarity / (1 + similarity)) / math.pi)
+
+
+@lru_cache(maxsize=1)
+def _table_bits() -> np.ndarray:
+    """The 46 of 256 bits that each table takes, fixed by a seed."""
+    rng = np.random.default_rng(SEED)
+    return np.array([rng.permutation(64 * WIDE_WORDS)[:46] for _ in range(TABLES)])
+
+
+@lru_cache(maxsize=1)
+def _leaders() -> np.ndarray:
+    """The error pattern of every syndrome of the Golay code."""
+    return np.array([next(p for beyond, p in row if beyond == 0) for row in _flips(23, GOLAY, 0)], np.uint64)
+
+
+def table_anchors(wide: np.ndarray) -> np.ndarray:
+    """``[table, row]`` keys: the anchors of two Golay blocks of the table's bits, and the table."""
+    bits = np.unpackbits(wide.astype("<u8").view(np.uint8).reshape(len(wide), -1), axis=1, bitorder="little").astype(np.uint64)
+    weights = np.uint64(1) << np.arange(23, dtype=np.uint64)
+    out = np.zeros((TABLES, len(wide)), np.uint64)
+    for t, chosen in enumerate(_table_bits()):
+        key = np.full(len(wide), t, np.uint64)
+        for half in (chosen[:23], chosen[23:]):
+            block = bits[:, half] @ weights
+            word = block ^ _leaders()[_syndromes(block, 23, GOLAY).astype(np.int64)]
+            key = (key << np.uint64(12)) | (word >> np.uint64(11))
+        out[t] = key
+    return out
+
+
+def _near_in_group(wide: np.ndarray, most: int) -> np.ndarray:
+    """Labels of rows of one anchor.  Beyond DIRECT rows each is compared with leaders, rows that no earlier leader is near."""
+    n = len(wide)
+    label = np.arange(n)
+    free = np.ones(n, bool)
+    for a in range(n):
+        if n > DIRECT:
+            if not free[a]:
+                continue
+            near = np.flatnonzero(np.bitwise_count(wide ^ wide[a]).sum(1) <= most)
+            free[near] = False
+        else:
+            near = np.flatnonzero(np.bitwise_count(wide[a:] ^ wide[a]).sum(1) <= most) + a
+        label = np.where(np.isin(label, label[near]), label[near].min(), label) if len(near) > 1 else label
+    return label
+
+
+def _wide_links(keys: np.ndarray, nodes: np.ndarray, wide: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    sizes = np.diff(np.concatenate([starts, [len(keys)]]))
+    left, right = [], []
+    small = 16
+    pairs_i, pairs_j = [], []
+    for shift in range(1, small):
+        i = np.flatnonzero(keys[shift:] == keys[:-shift])
+        if not len(i):
+            break
+        i = i[np.repeat(sizes <= small, sizes)[i]]
+        i = i[np.bitwise_count(wide[i] ^ wide[i + shift]).sum(1) <= most]
+        pairs_i.append(i)
+        pairs_j.append(i + shift)
+    if pairs_i:
+        label = _settle(len(keys), np.concatenate(pairs_i), np.concatenate(pairs_j))
+        moved = np.flatnonzero(label != np.arange(len(keys)))
+        left, right = [moved], [label[moved]]
+    for s, n in zip(starts[sizes > small].tolist(), sizes[sizes > small].tolist(), strict=True):
+        label = _near_in_group(wide[s : s + n], most)
+        moved = np.flatnonzero(label != np.arange(n))
+        left.append(s + moved)
+        right.append(s + label[moved])
+    if not left:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return nodes[np.concatenate(left)], nodes[np.concatenate(right)]
+
+
+def similar_groups(spark: SparkSession, docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """``(doc_id, key, node)`` of ``docs(doc_id, text)``: rows with the same ``node`` are near-duplicates.
+
+    Jaccard similarity of sets of word shingles is estimated from 256-bit
+    fingerprints, whose differing bits are linked up to what is expected at
+    ``similarity``.  A radius that wide has no useful covering of 64 bits, so
+    TABLES tables each put a fingerprint at its own anchor, within the covering
+    radius of 46 of its bits, and fingerprints that meet at any anchor are
+    compared; the README has the recall measured.  ``key`` is a hash of the
+    text.  Blank texts are one group; repeated rows share a group.
+    """
+    most = bits_at(similarity)
+
+    def prints(batches):
+        for batch in batches:
+            wide = np.array([wide_fingerprint(t, shingle) for t in batch.column(2).to_pylist()], np.uint64).reshape(-1, WIDE_WORDS)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(wide[:, k].copy().view(np.int64)) for k in range(WIDE_WORDS))], ["doc_id", "key", *names])
+
+    names = [f"w{k}" for k in range(WIDE_WORDS)]
+    bounded_batches(spark)
+    own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("key"), "text")
+    rows = own.mapInArrow(prints, f"doc_id bigint, key bigint, {', '.join(f'{w} bigint' for w in names)}").withColumn("node", F.xxhash64(*names))
+    rows = write_table(spark, rows, "wide-fingerprints")
+
+    def replicate(batches):
+        for batch in batches:
+            wide = np.stack([batch.column(k + 1).to_numpy() for k in range(WIDE_WORDS)], 1).view(np.uint64)
+            for i in range(0, len(wide), 2000):
+                keys = table_anchors(wide[i : i + 2000])
+                again = pa.array(np.tile(np.arange(i, i + keys.shape[1]), TABLES))
+                yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), *(c.take(again) for c in batch.columns)], ["anchor", "node", *names])
+
+    def compare(batches):
+        held: list[np.ndarray] | None = None
+
+        def links(cols):
+            a, b = _wide_links(cols[0], cols[1], np.stack(cols[2:], 1).view(np.uint64), most)
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            cols = [c.to_numpy() for c in batch.columns]
+            held = cols if held is None else [np.concatenate(x) for x in zip(held, cols, strict=True)]
+            end = int(np.searchsorted(held[0], held[0][-1]))
+            if end:
+                yield links([c[:end] for c in held])
+                held = [c[end:] for c in held]
+        if held is not None:
+            yield links(held)
+
+    columns = ", ".join(f"{c} bigint" for c in ("anchor", "node", *names))
+    distinct = rows.select("node", *names).distinct()
+    at = distinct.mapInArrow(replicate, columns)
+    edges = at.repartition("anchor").sortWithinPartitions("anchor", "node").mapInArrow(compare, "a bigint, b bigint")
+    labels = connected_components(spark, edges)
+    return rows.join(labels, "node", "left").select("doc_id", "key", F.coalesce("root", "node").alias("node"))
+
+
+def keep_one(spark: SparkSession, docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The row of ``docs`` with the smallest ``doc_id`` of each group, nulls last; one of repeated rows."""
+    groups = similar_groups(spark, docs, shingle, similarity)
+    order = F.struct(F.col("doc_id").isNull().alias("no"), F.coalesce("doc_id", F.lit(0)).alias("id"), "key")
+    chosen = groups.groupBy("node").agg(F.min(order).alias("o")).select(F.col("o.no").alias("_no"), F.col("o.id").alias("_id"), F.col("o.key").alias("_key"))
+    chosen = write_table(spark, chosen, "chosen")
+    doc_id = F.col("doc_id").cast("bigint")
+    keyed = docs.withColumns({"_no": doc_id.isNull(), "_id": F.coalesce(doc_id, F.lit(0)), "_key": F.xxhash64(F.coalesce("text", F.lit("")))})
+    return keyed.join(chosen, ["_no", "_id", "_key"]).dropDuplicates(["_no", "_id", "_key"]).select(*docs.columns)
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(os.path.join(sf_dir, "documents.parquet"))
     found = near_duplicates(spark, docs, shingle=3, bits=2)

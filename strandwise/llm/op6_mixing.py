@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strandwise.llm.ranked import before, in_order
+from strandwise.llm.storage import write_table
 
 #: Fixed values of the contract.
 WEIGHTS = (5, 2, 1)
@@ -110,6 +111,17 @@ def mix(spark: SparkSession, docs: DataFrame, keep: list[str] | None = None, see
     return rows.mapInArrow(run, schema).drop("part", "nth")
 
 
+def mixed(spark: SparkSession, docs: DataFrame, **how) -> DataFrame:
+    """The rows of ``docs`` as often as the mix takes them; repeated rows share their copies."""
+    doc_id = F.col("doc_id").cast("bigint")
+    row = docs.select(F.struct(*docs.columns).alias("_row"), F.xxhash64(doc_id.isNull(), "source", F.coalesce("text", F.lit(""))).alias("_k"), F.coalesce(doc_id, F.lit(0)).alias("_id"))
+    narrow = docs.withColumn("_k", F.xxhash64(doc_id.isNull(), "source", F.coalesce("text", F.lit(""))))
+    counts = mix(spark, narrow, keep=["_k"], **how).groupBy(F.coalesce("doc_id", F.lit(0)).alias("_id"), "_k").agg(F.sum("copies").alias("copies"))
+    counts = write_table(spark, counts.where("copies > 0"), "copies")
+    one = row.join(counts, ["_id", "_k"]).dropDuplicates(["_id", "_k"])
+    return one.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("_row.*")
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = mix(spark, spark.read.parquet(os.path.join(sf_dir, "documents.parquet")))
     return found.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", "source")

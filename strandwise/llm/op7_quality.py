@@ -62,19 +62,19 @@ def measures(text: str | None) -> tuple[int, int, int, int, int]:
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
-def measured(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """``docs`` with the five counts of its ``text`` put after its columns; ``text`` itself is dropped."""
-    others = [c for c in docs.columns if c != "text"]
+def measured(spark: SparkSession, docs: DataFrame, keep_text: bool = False) -> DataFrame:
+    """``docs`` with the five counts of its ``text`` after its other columns; ``text`` goes unless kept."""
+    others = [c for c in docs.columns if c != "text"] + ["text"] * keep_text
 
     def run(batches):
         for batch in batches:
             rows = [measures(t) for t in batch.column(batch.num_columns - 1).to_pylist()]
             cols = np.array(rows, np.int64).reshape(-1, 5).T
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *(pa.array(c) for c in cols)], [*others, *COUNTS])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(others)], *(pa.array(c) for c in cols)], [*others, *COUNTS])
 
     bounded_batches(spark)
     schema = T.StructType([*(docs.schema[c] for c in others), *(T.StructField(c, T.LongType()) for c in COUNTS)])
-    return docs.select(*others, "text").mapInArrow(run, schema)
+    return docs.select(*(c for c in docs.columns if c != "text"), "text").mapInArrow(run, schema)
 
 
 def _shares() -> dict[str, Column]:
@@ -100,23 +100,28 @@ def fences(rows: DataFrame, keys: list[str], spread: float = SPREAD) -> DataFram
     return quartiles.select(*keys, "n_group", *fence)
 
 
-def judged(spark: SparkSession, docs: DataFrame, least_group: int = LEAST_GROUP, spread: float = SPREAD) -> DataFrame:
+def judged(spark: SparkSession, docs: DataFrame, keep_text: bool = False, least_group: int = LEAST_GROUP, spread: float = SPREAD) -> DataFrame:
     """Every row of ``docs(doc_id, text, lang, source)`` with counts, ``base_failed`` and ``kept``.
 
     A null text has no words and fails; null languages and sources are groups
     like any other; a group with fewer than ``least_group`` passing documents
     is held against the fences of all documents; where none passes, no fence
     applies.  Repeated rows are judged alike; an empty table gives no rows;
-    other columns are carried along.
+    other columns are carried along.  With ``keep_text`` texts are measured a
+    second time instead of being shuffled or written.
     """
-    rows = write_table(spark, measured(spark, docs), "measures")
+    rows = write_table(spark, measured(spark, docs.select("lang", "source", "text") if keep_text else docs), "measures")
     own = fences(rows, ["lang", "source"], spread).where(F.col("n_group") >= least_group)
+    # written, so that the planner knows its size when it chooses the join
+    own = write_table(spark, own.withColumnsRenamed({"lang": "_lang", "source": "_source"}), "fences")
     whole = fences(rows, [], spread).collect()[0]
-    joined = rows.join(own.withColumnsRenamed({"lang": "_lang", "source": "_source"}), F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source")), "left")
+    rows = measured(spark, docs, keep_text=True) if keep_text else rows
+    joined = rows.join(own, F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source")), "left")
     inside = F.lit(True)
     for name, share in _shares().items():
         inside = inside & (share <= F.coalesce(f"max_{name}", F.lit(whole[f"max_{name}"] if whole.n_group else float("inf"))))
-    return joined.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & inside).drop("_lang", "_source", "n_group", *(f"max_{name}" for name in FLOORS))
+    kept = ~F.col("base_failed") & inside
+    return joined.withColumn("base_failed", base_failed()).withColumn("kept", kept).drop("_lang", "_source", "n_group", *(f"max_{name}" for name in FLOORS))
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -68,44 +68,46 @@ def _window_shingles(windows: DataFrame, ks: list[int]) -> DataFrame:
     return parts
 
 
-def contamination(spark: SparkSession, docs: DataFrame, bench: DataFrame, window: int = WINDOW) -> DataFrame:
-    """``doc_id, n_words, n_hit, n_items, items_sha256, contaminated`` for each row of ``docs(doc_id, text)``.
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``key`` and ``key2``, which rows of equal ``doc_id`` and text share."""
+    doc_id = F.col("doc_id").cast("bigint")
+    return docs.withColumns({"key": F.coalesce(doc_id, F.lit(0)), "key2": F.xxhash64(F.coalesce("text", F.lit("")), doc_id.isNull())})
 
-    ``n_hit`` counts words inside any occurrence of a window of
-    ``bench(item_id, text)``.  A null text has no words; rows with equal
-    ``doc_id`` and text get equal results, each its own row; a null ``doc_id``
-    is a value like any other; empty tables on either side are fine; other
-    columns are ignored.
-    """
+
+def _hits(spark: SparkSession, docs: DataFrame, bench: DataFrame, window: int) -> tuple[DataFrame, DataFrame]:
+    """``(doc_id, key, key2, n_words)`` of all rows, and :func:`_verified` of those with a window."""
     windows = write_table(spark, item_windows(bench, window), "windows")
     ks = [r.k for r in windows.select("k").distinct().collect()]
     w = F.col("words")
-    base = docs.select(
-        F.col("doc_id").cast("bigint").alias("doc_id"),
-        F.coalesce(F.col("doc_id").cast("bigint"), F.lit(0)).alias("key"),
-        F.xxhash64(F.coalesce("text", F.lit("")), F.col("doc_id").isNull()).alias("key2"),
-        words_of(F.col("text")).alias("words"),
-    )
+    base = _keyed(docs.select("doc_id", "text")).select(F.col("doc_id").cast("bigint").alias("doc_id"), "key", "key2", words_of(F.col("text")).alias("words"))
     found = F.array().cast("array<struct<i:int,h:bigint>>")
-    literal = False
     if ks:
         grams = write_table(spark, _window_shingles(windows, ks), "window-shingles")
         most = grams.select("h").distinct().limit(LITERAL_SHINGLES + 1).collect()
-        literal = len(most) <= LITERAL_SHINGLES
         for k in ks:
             at = _hashes(w, k)  # a short one at the end cannot pass the comparison of words
-            if literal:
+            if len(most) <= LITERAL_SHINGLES:
                 at = F.filter(at, lambda x: x["h"].isin([r.h for r in most]))
             found = at if k == ks[0] else F.concat(found, at)
     back = max(0, window - 1)
     hits = F.transform(found, lambda x: F.struct(x["i"].alias("i"), x["h"].alias("h"), F.slice(w, F.greatest(x["i"] - back, F.lit(0)) + 1, 2 * window).alias("near")))
-    rows = base.select("doc_id", "key", "key2", F.size(w).alias("n_words"), hits.alias("hits"))
-    rows = write_table(spark, rows, "document-shingles")
+    rows = write_table(spark, base.select("doc_id", "key", "key2", F.size(w).alias("n_words"), hits.alias("hits")), "document-shingles")
     bare = rows.select("doc_id", "key", "key2", "n_words")
     if not ks:
-        hit = bare.where("false").select("key", "key2", F.lit(0).alias("n_hit"), F.lit(0).alias("n_items"), F.lit("").alias("items"))
-    else:
-        hit = _verified(spark, rows, grams, back)
+        return bare, bare.where("false").select("key", "key2", F.lit(0).alias("n_hit"), F.lit(0).alias("n_items"), F.lit("").alias("items"))
+    return bare, _verified(spark, rows, grams, back)
+
+
+def contamination(spark: SparkSession, docs: DataFrame, bench: DataFrame, window: int = WINDOW) -> DataFrame:
+    """``doc_id, n_words, n_hit, n_items, items_sha256, contaminated`` for each row of ``docs(doc_id, text)``.
+
+    ``n_hit`` counts words inside any occurrence of a window of
+    ``bench(item_id, text)``.  A null text has no words; rows with equal
+    ``doc_id`` and text get equal results, each its own row; a null ``doc_id``
+    is a value like any other; empty tables on either side are fine; other
+    columns are ignored.
+    """
+    bare, hit = _hits(spark, docs, bench, window)
     return (
         bare.join(hit, ["key", "key2"], "left")
         .select(
@@ -119,6 +121,13 @@ def contamination(spark: SparkSession, docs: DataFrame, bench: DataFrame, window
     )
 
 
+def without_benchmark(spark: SparkSession, docs: DataFrame, bench: DataFrame, window: int = WINDOW) -> DataFrame:
+    """The rows of ``docs`` in which no window of the benchmark occurs, with all their columns."""
+    hit = write_table(spark, _hits(spark, docs, bench, window)[1].select(F.col("key").alias("_k"), F.col("key2").alias("_k2")), "contaminated")
+    keyed = _keyed(docs.select(F.struct(*docs.columns).alias("_row"), "doc_id", "text"))
+    return keyed.join(hit, (F.col("key") == F.col("_k")) & (F.col("key2") == F.col("_k2")), "left_anti").select("_row.*")
+
+
 def _verified(spark: SparkSession, rows: DataFrame, grams: DataFrame, back: int) -> DataFrame:
     """``(key, key2, n_hit, n_items, items)`` of the documents with a window."""
     cands = rows.select("key", "key2", "n_words", F.explode("hits").alias("c")).select("key", "key2", "n_words", "c.*")
