@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from strandwise.llm.ranked import before
 from strandwise.llm.storage import atomic_output, new_folder, open_input, write_table
-from strandwise.llm.tokenize import in_id_order, token_rows, tokenizer_path
+from strandwise.llm.tokenize import token_rows, tokenizer_path
 
 #: The vocabulary's own end of text, which no text gives when special strings are ordinary text.
 END_ID = 49407
@@ -29,10 +29,11 @@ BLOCK_BYTES = 4 << 20
 
 
 def write_flat_files(spark: SparkSession, docs: DataFrame, folder: str, tokenizer: str, end_id: int = END_ID, width: int = 2) -> tuple[list[str], DataFrame]:
-    """Flat little-endian ids of ``docs`` in ascending ``doc_id`` order; the paths in order, and ``(part, nth, doc_id)``.
+    """Flat little-endian ids of ``docs``, a file a partition in the order of its rows; the paths, and ``(part, nth, doc_id)``.
 
     A file has ids and separators and nothing else.  A null text gives its
-    separator alone; rows may repeat; a null ``doc_id`` comes first.
+    separator alone; rows may repeat and ids be null.  Nothing is shuffled:
+    ids are as large as the files, and a scan takes documents in any order.
     """
 
     def run(batches):
@@ -47,7 +48,7 @@ def write_flat_files(spark: SparkSession, docs: DataFrame, folder: str, tokenize
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(column), part, np.int32)), pa.array(np.arange(nth, nth + len(column))), column], ["part", "nth", "doc_id"])
             nth += len(column)
 
-    rows = in_id_order(spark, token_rows(spark, docs, tokenizer, end_id, width, literal_specials=True), docs)
+    rows = token_rows(spark, docs, tokenizer, end_id, width, literal_specials=True)
     placed = write_table(spark, rows.mapInArrow(run, "part int, nth bigint, doc_id bigint"), "flat-places")
     parts = sorted(r.part for r in placed.select("part").distinct().collect())
     return [f"{folder}/part-{p:06d}.ids" for p in parts], placed
