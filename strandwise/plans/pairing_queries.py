@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+import strandwise.plans.fixtures  # noqa: F401  (defines the derived tables)
 from strandwise.operators import pairing as P
 from strandwise.plans.registry import FIXTURES, fixture, query
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+import strandwise.plans.fixtures  # noqa: F401  (defines the derived tables)
 from strandwise.operators import alleles as A
 from strandwise.operators import lift as L
 from strandwise.operators import regions as R

@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+import strandwise.plans.fixtures  # noqa: F401  (defines the derived tables)
 from strandwise.functions import sequence as S
 from strandwise.plans.registry import fixture, query
 

@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+import strandwise.plans.fixtures  # noqa: F401  (defines the derived tables)
 from strandwise.functions import sequence as S
 from strandwise.operators import index
 from strandwise.plans.prefix import running_totals
