@@ -134,7 +134,8 @@ def op9_separators(spark: SparkSession, sf_dir: str) -> DataFrame:
     offset = before({r.part: r["count"] for r in placed.groupBy("part").count().collect()})
     starts = spark.createDataFrame([(p, o) for p, o in offset.items()], "part int, first bigint")
     ids = placed.join(F.broadcast(starts), "part").select((F.col("first") + F.col("nth")).alias("doc_no"), "doc_id")  # a row for each file
-    return counts.join(ids, "doc_no").select("doc_id", "doc_no", "n_tokens")
+    # both sides grow with the documents; the plan must not take the short list of files for the size of the counts
+    return counts.hint("merge").join(ids, "doc_no").select("doc_id", "doc_no", "n_tokens")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op9_separators": op9_separators}
