@@ -428,8 +428,8 @@ def keep_one(spark: SparkSession, docs: DataFrame, shingle: int = 5, similarity:
     chosen = groups.groupBy("node").agg(F.min(order).alias("o")).select(F.col("o.no").alias("_no"), F.col("o.id").alias("_id"), F.col("o.key").alias("_key"))
     chosen = write_table(spark, chosen, "chosen")
     doc_id = F.col("doc_id").cast("bigint")
-    keyed = docs.withColumns({"_no": doc_id.isNull(), "_id": F.coalesce(doc_id, F.lit(0)), "_key": F.xxhash64(F.coalesce("text", F.lit("")))})
-    return keyed.join(chosen, ["_no", "_id", "_key"]).dropDuplicates(["_no", "_id", "_key"]).select(*docs.columns)
+    keyed = docs.select(F.struct(*docs.columns).alias("_row"), doc_id.isNull().alias("_no"), F.coalesce(doc_id, F.lit(0)).alias("_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_key"))
+    return keyed.join(chosen, ["_no", "_id", "_key"]).dropDuplicates(["_no", "_id", "_key"]).select("_row.*")
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -115,7 +115,7 @@ def mixed(spark: SparkSession, docs: DataFrame, **how) -> DataFrame:
     """The rows of ``docs`` as often as the mix takes them; repeated rows share their copies."""
     doc_id = F.col("doc_id").cast("bigint")
     row = docs.select(F.struct(*docs.columns).alias("_row"), F.xxhash64(doc_id.isNull(), "source", F.coalesce("text", F.lit(""))).alias("_k"), F.coalesce(doc_id, F.lit(0)).alias("_id"))
-    narrow = docs.withColumn("_k", F.xxhash64(doc_id.isNull(), "source", F.coalesce("text", F.lit(""))))
+    narrow = docs.select("doc_id", "text", "source", F.xxhash64(doc_id.isNull(), "source", F.coalesce("text", F.lit(""))).alias("_k"))
     counts = mix(spark, narrow, keep=["_k"], **how).groupBy(F.coalesce("doc_id", F.lit(0)).alias("_id"), "_k").agg(F.sum("copies").alias("copies"))
     counts = write_table(spark, counts.where("copies > 0"), "copies")
     one = row.join(counts, ["_id", "_k"]).dropDuplicates(["_id", "_k"])

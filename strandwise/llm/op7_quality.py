@@ -62,19 +62,19 @@ def measures(text: str | None) -> tuple[int, int, int, int, int]:
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
-def measured(spark: SparkSession, docs: DataFrame, keep_text: bool = False) -> DataFrame:
-    """``docs`` with the five counts of its ``text`` after its other columns; ``text`` goes unless kept."""
-    others = [c for c in docs.columns if c != "text"] + ["text"] * keep_text
+def measured(spark: SparkSession, docs: DataFrame, row: list[str]) -> DataFrame:
+    """``row`` (a struct of these columns), ``lang``, ``source`` and the five counts of each ``text``."""
 
     def run(batches):
         for batch in batches:
-            rows = [measures(t) for t in batch.column(batch.num_columns - 1).to_pylist()]
-            cols = np.array(rows, np.int64).reshape(-1, 5).T
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(others)], *(pa.array(c) for c in cols)], [*others, *COUNTS])
+            counts = [measures(t) for t in batch.column(3).to_pylist()]
+            cols = np.array(counts, np.int64).reshape(-1, 5).T
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *(pa.array(c) for c in cols)], ["row", "lang", "source", *COUNTS])
 
     bounded_batches(spark)
-    schema = T.StructType([*(docs.schema[c] for c in others), *(T.StructField(c, T.LongType()) for c in COUNTS)])
-    return docs.select(*(c for c in docs.columns if c != "text"), "text").mapInArrow(run, schema)
+    own = docs.select(F.struct(*row).alias("row"), "lang", "source", "text")
+    schema = T.StructType([*own.schema.fields[:3], *(T.StructField(c, T.LongType()) for c in COUNTS)])
+    return own.mapInArrow(run, schema)
 
 
 def _shares() -> dict[str, Column]:
@@ -100,34 +100,71 @@ def fences(rows: DataFrame, keys: list[str], spread: float = SPREAD) -> DataFram
     return quartiles.select(*keys, "n_group", *fence)
 
 
-def judged(spark: SparkSession, docs: DataFrame, keep_text: bool = False, least_group: int = LEAST_GROUP, spread: float = SPREAD) -> DataFrame:
-    """Every row of ``docs(doc_id, text, lang, source)`` with counts, ``base_failed`` and ``kept``.
-
-    A null text has no words and fails; null languages and sources are groups
-    like any other; a group with fewer than ``least_group`` passing documents
-    is held against the fences of all documents; where none passes, no fence
-    applies.  Repeated rows are judged alike; an empty table gives no rows;
-    other columns are carried along.  With ``keep_text`` texts are measured a
-    second time instead of being shuffled or written.
-    """
-    rows = write_table(spark, measured(spark, docs.select("lang", "source", "text") if keep_text else docs), "measures")
+def _verdicts(spark: SparkSession, docs: DataFrame, row: list[str], narrow: bool, least_group: int, spread: float) -> DataFrame:
+    rows = write_table(spark, measured(spark, docs, row if narrow else ["doc_id"]), "measures")
     own = fences(rows, ["lang", "source"], spread).where(F.col("n_group") >= least_group)
     # written, so that the planner knows its size when it chooses the join
     own = write_table(spark, own.withColumnsRenamed({"lang": "_lang", "source": "_source"}), "fences")
     whole = fences(rows, [], spread).collect()[0]
-    rows = measured(spark, docs, keep_text=True) if keep_text else rows
+    rows = rows if narrow else measured(spark, docs, row)
     joined = rows.join(own, F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source")), "left")
     inside = F.lit(True)
     for name, share in _shares().items():
         inside = inside & (share <= F.coalesce(f"max_{name}", F.lit(whole[f"max_{name}"] if whole.n_group else float("inf"))))
-    kept = ~F.col("base_failed") & inside
-    return joined.withColumn("base_failed", base_failed()).withColumn("kept", kept).drop("_lang", "_source", "n_group", *(f"max_{name}" for name in FLOORS))
+    return joined.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & inside)
+
+
+def judged(spark: SparkSession, docs: DataFrame, least_group: int = LEAST_GROUP, spread: float = SPREAD) -> DataFrame:
+    """``doc_id``, the five counts, ``base_failed`` and ``kept`` for each row of ``docs(doc_id, text, lang, source)``.
+
+    A null text has no words and fails; null languages and sources are groups
+    like any other; a group with fewer than ``least_group`` passing documents
+    is held against the fences of all documents; where none passes, no fence
+    applies.  Repeated rows are judged alike; an empty table gives no rows;
+    other columns are ignored.
+    """
+    return _verdicts(spark, docs, ["doc_id"], True, least_group, spread).select("row.doc_id", *COUNTS, "base_failed", "kept")
+
+
+def passing(spark: SparkSession, docs: DataFrame, least_group: int = LEAST_GROUP, spread: float = SPREAD) -> DataFrame:
+    """The rows of ``docs`` that :func:`judged` keeps, with all their columns; texts are measured twice and not shuffled."""
+    return _verdicts(spark, docs, docs.columns, False, least_group, spread).where("kept").select("row.*")
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(os.path.join(sf_dir, "documents.parquet")).select("doc_id", "lang", "source", "text")
-    return judged(spark, docs).select("doc_id", *COUNTS, "base_failed", "kept")
+    return judged(spark, spark.read.parquet(os.path.join(sf_dir, "documents.parquet")))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op7_quality": op7_quality}
-ORACLES: dict[str, str] = {}
+_SHARE = {
+    "symbol_share": "n_symbols / greatest(word_chars, 1)::DOUBLE",
+    "dup_line_share": "n_dup_lines / greatest(n_words, 1)::DOUBLE",
+    "repeat_share": "n_repeat_words / greatest(n_words, 1)::DOUBLE",
+    "long_words": "word_chars / greatest(n_words, 1)::DOUBLE",
+}
+
+
+def _fence_sql(group: str) -> str:
+    q = lambda e, p: f"quantile_disc({e}, {p})"
+    cols = ", ".join(f"greatest({FLOORS[n]}, {q(e, 0.75)} + {SPREAD} * ({q(e, 0.75)} - {q(e, 0.25)})) AS max_{n}" for n, e in _SHARE.items())
+    return f"SELECT {group}count(*) AS n_group, {cols} FROM m WHERE NOT base_failed"
+
+
+# sketches are exact up to ACCURACY documents a group, so quartiles of small tables have an exact oracle
+ORACLES: dict[str, str] = {
+    "op7_quality": rf"""
+WITH w AS (SELECT row_number() OVER () AS r, doc_id, lang, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT r, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM w WHERE len(w) > 2)),
+h AS (SELECT r, count(DISTINCT j) AS n FROM (SELECT r, unnest([i, i + 1, i + 2]) AS j FROM (SELECT *, count(*) OVER (PARTITION BY r, g) AS c FROM g) WHERE c > 1) GROUP BY r),
+l AS (SELECT r, count(*) - count(DISTINCT l) AS n FROM (SELECT r, unnest(string_split(t, chr(10))) AS l FROM w) WHERE regexp_matches(l, '[^\x20\x09-\x0D]') GROUP BY r),
+m AS (SELECT *, n_words < {LEAST_WORDS} OR 100 * n_repeat_words > {REPEAT_PERCENT} * n_words AS base_failed FROM (
+ SELECT w.r, doc_id, lang, source, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
+  (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols, coalesce(l.n, 0)::BIGINT AS n_dup_lines, coalesce(h.n, 0)::BIGINT AS n_repeat_words
+ FROM w LEFT JOIN h ON h.r = w.r LEFT JOIN l ON l.r = w.r)),
+o AS ({_fence_sql('lang, source, ')} GROUP BY lang, source HAVING count(*) >= {LEAST_GROUP}),
+a AS ({_fence_sql('')})
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+ NOT base_failed AND {' AND '.join(f"{e} <= coalesce(o.max_{n}, a.max_{n})" for n, e in _SHARE.items())} AS kept
+FROM m LEFT JOIN o ON o.lang IS NOT DISTINCT FROM m.lang AND o.source IS NOT DISTINCT FROM m.source, a
+"""
+}
