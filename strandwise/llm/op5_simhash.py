@@ -256,13 +256,18 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, shingle: int = 5, bits
 # ---- a stated similarity ---------------------------------------------------------------------------------------
 
 WIDE_WORDS = 4
-TABLES = 64
+TABLES = 96
 DIRECT = 4096
+#: An edited word changes two shingles of two words but five of five, so anchors come from the former.
+ANCHOR_SHINGLE = 2
+#: Standard deviations of a fingerprint's error that a pair at the threshold is allowed.
+LEEWAY = 2.0
+#: Pairs within the bits expected at this similarity are taken without a look at their shingles.
+SURE = 0.9
 
 
-def wide_fingerprint(text: str | None, shingle: int) -> np.ndarray:
-    """256 bits, as four words, of the set of shingles of a text; blank texts give zeros."""
-    words = text.encode().lower().split() if text else []
+def wide_fingerprint(words: list[bytes], shingle: int) -> np.ndarray:
+    """256 bits, as four words, of the set of shingles of a text; no words give zeros."""
     if not words:
         return np.zeros(WIDE_WORDS, np.uint64)
     flat = b" ".join(words)
@@ -284,9 +289,10 @@ def wide_fingerprint(text: str | None, shingle: int) -> np.ndarray:
     return out
 
 
-def bits_at(similarity: float, bits: int = 64 * WIDE_WORDS) -> int:
-    """Differing bits expected of two sets of equal size with this Jaccard similarity."""
-    return round(bits * math.acos(2 * similarity / (1 + similarity)) / math.pi)
+def bits_at(similarity: float, leeway: float = 0.0, bits: int = 64 * WIDE_WORDS) -> int:
+    """Differing bits expected of two sets of equal size with this Jaccard similarity, and some deviations more."""
+    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return round(bits * p + leeway * math.sqrt(bits * p * (1 - p)))
 
 
 @lru_cache(maxsize=1)
@@ -317,89 +323,110 @@ def table_anchors(wide: np.ndarray) -> np.ndarray:
     return out
 
 
-def _near_in_group(wide: np.ndarray, most: int) -> np.ndarray:
-    """Labels of rows of one anchor.  Beyond DIRECT rows each is compared with leaders, rows that no earlier leader is near."""
+def _group_pairs(wide: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows of one large anchor: each row with the leaders near it, a leader being a row near no earlier one.
+
+    Up to DIRECT rows every row leads, and of its later neighbours those that
+    an earlier leader reached within half the bits are left out, so a dense
+    group gives few pairs a row.
+    """
     n = len(wide)
-    label = np.arange(n)
     free = np.ones(n, bool)
+    left, right = [], []
     for a in range(n):
-        if n > DIRECT:
-            if not free[a]:
-                continue
-            near = np.flatnonzero(np.bitwise_count(wide ^ wide[a]).sum(1) <= most)
-            free[near] = False
-        else:
-            near = np.flatnonzero(np.bitwise_count(wide[a:] ^ wide[a]).sum(1) <= most) + a
-        label = np.where(np.isin(label, label[near]), label[near].min(), label) if len(near) > 1 else label
-    return label
-
-
-def _wide_links(keys: np.ndarray, nodes: np.ndarray, wide: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+        if not free[a]:
+            continue
+        bits = np.bitwise_count(wide ^ wide[a]).sum(1)
+        near = np.flatnonzero(bits <= most)
+        free[near if n > DIRECT else np.flatnonzero(bits <= most // 2)] = False
+        near = near[near != a]
+        left.append(np.full(len(near), a))
+        right.append(near)
+    return np.concatenate(left), np.concatenate(right)
+
+
+def _wide_pairs(keys: np.ndarray, nodes: np.ndarray, wide: np.ndarray, most: int) -> list[np.ndarray]:
+    """``a, b, bits`` of pairs near each other within runs of equal keys; all of them in runs of at most 16 rows."""
     starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
     sizes = np.diff(np.concatenate([starts, [len(keys)]]))
-    left, right = [], []
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     small = 16
-    pairs_i, pairs_j = [], []
     for shift in range(1, small):
         i = np.flatnonzero(keys[shift:] == keys[:-shift])
         if not len(i):
             break
         i = i[np.repeat(sizes <= small, sizes)[i]]
         i = i[np.bitwise_count(wide[i] ^ wide[i + shift]).sum(1) <= most]
-        pairs_i.append(i)
-        pairs_j.append(i + shift)
-    if pairs_i:
-        label = _settle(len(keys), np.concatenate(pairs_i), np.concatenate(pairs_j))
-        moved = np.flatnonzero(label != np.arange(len(keys)))
-        left, right = [moved], [label[moved]]
+        left.append(i)
+        right.append(i + shift)
     for s, n in zip(starts[sizes > small].tolist(), sizes[sizes > small].tolist(), strict=True):
-        label = _near_in_group(wide[s : s + n], most)
-        moved = np.flatnonzero(label != np.arange(n))
-        left.append(s + moved)
-        right.append(s + label[moved])
-    if not left:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return nodes[np.concatenate(left)], nodes[np.concatenate(right)]
+        i, j = _group_pairs(wide[s : s + n], most)
+        left.append(s + i)
+        right.append(s + j)
+    i, j = np.concatenate(left), np.concatenate(right)
+    return [np.minimum(nodes[i], nodes[j]), np.maximum(nodes[i], nodes[j]), np.bitwise_count(wide[i] ^ wide[j]).sum(1).astype(np.int64)]
+
+
+def _shingle_sets(spark: SparkSession, docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
+    """``(node, hashes)``: the hashed shingles of one text for each of ``wanted(key, node)``."""
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for text in batch.column(1).to_pylist():
+                words = text.encode().lower().split()
+                grams = (b" ".join(words[i : i + shingle]) for i in range(max(1, len(words) - shingle + 1)))
+                out.append(np.array(sorted({xxhash.xxh64_intdigest(g, SEED) for g in grams}), np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int64()))], ["node", "hashes"])
+
+    texts = docs.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("key"), F.coalesce("text", F.lit("")).alias("text")).join(wanted, "key").dropDuplicates(["node"])
+    return texts.select("node", "text").mapInArrow(run, "node bigint, hashes array<bigint>")
 
 
 def similar_groups(spark: SparkSession, docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """``(doc_id, key, node)`` of ``docs(doc_id, text)``: rows with the same ``node`` are near-duplicates.
 
     Jaccard similarity of sets of word shingles is estimated from 256-bit
-    fingerprints, whose differing bits are linked up to what is expected at
-    ``similarity``.  A radius that wide has no useful covering of 64 bits, so
-    TABLES tables each put a fingerprint at its own anchor, within the covering
-    radius of 46 of its bits, and fingerprints that meet at any anchor are
-    compared; the README has the recall measured.  ``key`` is a hash of the
+    fingerprints: a pair within the differing bits expected at SURE is linked,
+    and one up to those at ``similarity`` and LEEWAY deviations more is linked
+    if the shingles of both texts are that similar.  A radius that wide has no useful covering of
+    64 bits, so TABLES tables each put a document at one anchor, within the
+    covering radius of 46 bits of a second fingerprint, of two-word shingles,
+    and documents that meet at any anchor are compared; the README has the
+    recall measured.  ``key`` is a hash of the
     text.  Blank texts are one group; repeated rows share a group.
     """
-    most = bits_at(similarity)
+    most = bits_at(similarity, LEEWAY)
 
     def prints(batches):
         for batch in batches:
-            wide = np.array([wide_fingerprint(t, shingle) for t in batch.column(2).to_pylist()], np.uint64).reshape(-1, WIDE_WORDS)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(wide[:, k].copy().view(np.int64)) for k in range(WIDE_WORDS))], ["doc_id", "key", *names])
+            words = [t.encode().lower().split() if t else [] for t in batch.column(2).to_pylist()]
+            both = [np.array([wide_fingerprint(w, k) for w in words], np.uint64).reshape(-1, WIDE_WORDS) for k in (shingle, ANCHOR_SHINGLE)]
+            cols = [pa.array(w[:, k].copy().view(np.int64)) for w in both for k in range(WIDE_WORDS)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *cols], ["doc_id", "key", *names, *anchor_names])
 
-    names = [f"w{k}" for k in range(WIDE_WORDS)]
+    names, anchor_names = [f"w{k}" for k in range(WIDE_WORDS)], [f"a{k}" for k in range(WIDE_WORDS)]
     bounded_batches(spark)
     own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("key"), "text")
-    rows = own.mapInArrow(prints, f"doc_id bigint, key bigint, {', '.join(f'{w} bigint' for w in names)}").withColumn("node", F.xxhash64(*names))
+    schema = f"doc_id bigint, key bigint, {', '.join(f'{w} bigint' for w in [*names, *anchor_names])}"
+    rows = own.mapInArrow(prints, schema).withColumn("node", F.xxhash64(*names, *anchor_names))
     rows = write_table(spark, rows, "wide-fingerprints")
 
     def replicate(batches):
         for batch in batches:
-            wide = np.stack([batch.column(k + 1).to_numpy() for k in range(WIDE_WORDS)], 1).view(np.uint64)
+            wide = np.stack([batch.column(k + 1 + WIDE_WORDS).to_numpy() for k in range(WIDE_WORDS)], 1).view(np.uint64)
+            kept = batch.columns[: 1 + WIDE_WORDS]
             for i in range(0, len(wide), 2000):
                 keys = table_anchors(wide[i : i + 2000])
                 again = pa.array(np.tile(np.arange(i, i + keys.shape[1]), TABLES))
-                yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), *(c.take(again) for c in batch.columns)], ["anchor", "node", *names])
+                yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), *(c.take(again) for c in kept)], ["anchor", "node", *names])
 
     def compare(batches):
         held: list[np.ndarray] | None = None
 
         def links(cols):
-            a, b = _wide_links(cols[0], cols[1], np.stack(cols[2:], 1).view(np.uint64), most)
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+            pairs = _wide_pairs(cols[0], cols[1], np.stack(cols[2:], 1).view(np.uint64), most)
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in pairs], ["a", "b", "bits"])
 
         for batch in batches:
             if not batch.num_rows:
@@ -414,11 +441,26 @@ def similar_groups(spark: SparkSession, docs: DataFrame, shingle: int = 5, simil
             yield links(held)
 
     columns = ", ".join(f"{c} bigint" for c in ("anchor", "node", *names))
-    distinct = rows.select("node", *names).distinct()
+    distinct = rows.select("node", *names, *anchor_names).distinct()
     at = distinct.mapInArrow(replicate, columns)
-    edges = at.repartition("anchor").sortWithinPartitions("anchor", "node").mapInArrow(compare, "a bigint, b bigint")
-    labels = connected_components(spark, edges)
-    return rows.join(labels, "node", "left").select("doc_id", "key", F.coalesce("root", "node").alias("node"))
+    pairs = at.repartition("anchor").sortWithinPartitions("anchor", "node").mapInArrow(compare, "a bigint, b bigint, bits bigint")
+    pairs = write_table(spark, pairs.distinct(), "near-pairs")
+    sure = connected_components(spark, pairs.where(F.col("bits") <= bits_at(SURE)))
+
+    # what is left between different groups is decided by the shingles themselves
+    root = lambda c, r: sure.select(F.col("node").alias(c), F.col("root").alias(r))
+    open_ = pairs.where(F.col("bits") > bits_at(SURE)).join(root("a", "ra"), "a", "left").join(root("b", "rb"), "b", "left")
+    open_ = open_.select("a", "b", F.coalesce("ra", "a").alias("ra"), F.coalesce("rb", "b").alias("rb")).where("ra <> rb")
+    open_ = write_table(spark, open_, "open-pairs")
+    ends = open_.select(F.col("a").alias("node")).union(open_.select(F.col("b").alias("node"))).distinct()
+    wanted = write_table(spark, rows.join(ends, "node", "left_semi").groupBy("node").agg(F.min("key").alias("key")), "wanted-texts")
+    sets = write_table(spark, _shingle_sets(spark, docs, wanted, shingle), "shingle-sets")
+    both = open_.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("ha")), "a").join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("hb")), "b")
+    common = F.size(F.array_intersect("ha", "hb"))
+    alike = both.where(common >= similarity * (F.size("ha") + F.size("hb") - common)).select(F.col("ra").alias("a"), F.col("rb").alias("b"))
+    more = connected_components(spark, alike)
+    first = rows.join(sure, "node", "left").select("doc_id", "key", F.coalesce("root", "node").alias("node"))
+    return first.join(more, "node", "left").select("doc_id", "key", F.coalesce("root", "node").alias("node"))
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
