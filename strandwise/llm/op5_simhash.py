@@ -117,14 +117,12 @@ def _settle(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """The smallest reachable index of each of n nodes with links i-j."""
     label = np.arange(n)
     while len(i):
-        low = np.minimum(label[i], label[j])
-        np.minimum.at(label, i, low)
-        np.minimum.at(label, j, low)
-        label = label[label]
-        differ = label[i] != label[j]
-        i, j = i[differ], j[differ]
-    while (label[label] != label).any():
-        label = label[label]
+        a, b = label[i], label[j]  # both are roots, and the larger is hung below the smaller
+        differ = a != b
+        i, j, a, b = i[differ], j[differ], a[differ], b[differ]
+        np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
+        while (label[label] != label).any():
+            label = label[label]
     return label
 
 
