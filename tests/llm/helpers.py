@@ -23,8 +23,8 @@ def awkward() -> list[tuple]:
         (104, prose(4, 84), "en", "s1"),
         (105, prose(4, 84), "en", "s2"),
         (105, prose(4, 84), "en", "s2"),
-        (None, prose(5, 70), None, "s1"),
-        (None, prose(6, 70), "fr", "s1"),
+        (None, prose(51, 70), None, "s1"),
+        (None, prose(61, 70), "fr", "s1"),
         (106, "é̀ Ünïcode İSTANBUL ſ K 🎉🎉 日本語 " * 20, "xx", "s2"),
         (107, "word", "en", "s2"),
         (108, "a\x00b\x1cc d\x85e", "en", "s2"),
