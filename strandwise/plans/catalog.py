@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import strandwise.plans.align_queries
+import strandwise.plans.longread_queries
 import strandwise.plans.pairing_queries
 import strandwise.plans.region_queries
 import strandwise.plans.scalar_queries
