@@ -262,6 +262,8 @@ ANCHOR_SHINGLE = 2
 LEEWAY = 2.0
 #: Pairs within the bits expected at this similarity are taken without a look at their shingles.
 SURE = 0.9
+#: Edge-disjoint forests of open pairs that an anchor passes on.
+FORESTS = 3
 
 
 def wide_fingerprint(words: list[bytes], shingle: int) -> np.ndarray:
@@ -343,8 +345,47 @@ def _group_pairs(wide: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(left), np.concatenate(right)
 
 
+def _thinned(n: int, i: np.ndarray, j: np.ndarray, wide: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A sparse set of near pairs with the same connections: O(n) of the O(n^2) a dense group has.
+
+    Of the sure pairs a spanning forest stays; of the open ones, which may yet
+    be refused, FORESTS edge-disjoint forests between sure groups, nearest
+    pairs first.
+    """
+    bits = np.bitwise_count(wide[i] ^ wide[j]).sum(1).astype(np.int64)
+    order = np.argsort(bits, kind="stable")
+    i, j, bits = i[order], j[order], bits[order]
+    kept: list[int] = []
+
+    def forest(up: list[int], candidates: list[int]) -> list[int]:
+        """Takes the candidates that join two trees, and gives back the rest."""
+        rest = []
+        for e in candidates:
+            a, b = int(i[e]), int(j[e])
+            while up[a] != a:
+                up[a] = a = up[up[a]]
+            while up[b] != b:
+                up[b] = b = up[up[b]]
+            if a == b:
+                rest.append(e)
+            else:
+                up[max(a, b)] = min(a, b)
+                kept.append(e)
+        return rest
+
+    sure = list(range(n))
+    first_open = int(np.searchsorted(bits, bits_at(SURE), side="right"))
+    forest(sure, list(range(first_open)))
+    base = _settle(n, np.arange(n), np.array(sure, np.int64)) if n else np.zeros(0, np.int64)
+    left = [e for e in range(first_open, len(i)) if base[i[e]] != base[j[e]]]
+    for _ in range(FORESTS):
+        left = forest(list(sure), left)
+    picked = np.array(kept, np.int64)
+    return i[picked], j[picked]
+
+
 def _wide_pairs(keys: np.ndarray, nodes: np.ndarray, wide: np.ndarray, most: int) -> list[np.ndarray]:
-    """``a, b, bits`` of pairs near each other within runs of equal keys; all of them in runs of at most 16 rows."""
+    """``a, b, bits`` of pairs that connect what is near within runs of equal keys, a few for each row (:func:`_thinned`)."""
     starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
     sizes = np.diff(np.concatenate([starts, [len(keys)]]))
     left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
@@ -361,7 +402,7 @@ def _wide_pairs(keys: np.ndarray, nodes: np.ndarray, wide: np.ndarray, most: int
         i, j = _group_pairs(wide[s : s + n], most)
         left.append(s + i)
         right.append(s + j)
-    i, j = np.concatenate(left), np.concatenate(right)
+    i, j = _thinned(len(keys), np.concatenate(left), np.concatenate(right), wide)
     return [np.minimum(nodes[i], nodes[j]), np.maximum(nodes[i], nodes[j]), np.bitwise_count(wide[i] ^ wide[j]).sum(1).astype(np.int64)]
 
 
