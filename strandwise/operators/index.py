@@ -44,19 +44,19 @@ def kmer_array(seq: Column, k: int) -> Column:
 
 
 def kmers(contig_seqs: DataFrame, k: int) -> DataFrame:
-    """``kmer, rid, strand, pos, gpos``: every k-mer without an ambiguous base of both strands.
+    """``kmer, rid, gpos, l_pac``: every k-mer without an ambiguous base of the forward strand, by its place on the axis.
 
-    ``pos`` is the place on its own strand and ``gpos`` the place on the
-    doubled axis, where the reverse strand of the whole axis follows the
-    forward one.
+    Searches turn their reads around instead of the reference, which halves
+    the larger side of every join.
     """
-    both = contig_seqs.select("rid", "offset", "len", "l_pac", F.lit(0).alias("strand"), "seq").unionByName(
-        contig_seqs.select("rid", "offset", "len", "l_pac", F.lit(1).alias("strand"), revcomp(F.col("seq")).alias("seq"))
-    )
-    flat = both.select("rid", "strand", "offset", "len", "l_pac", F.posexplode(kmer_array(F.col("seq"), k)).alias("pos", "kmer"))
-    start = F.when(F.col("strand") == 0, F.col("offset")).otherwise(2 * F.col("l_pac") - F.col("offset") - F.col("len"))
-    known = flat.where(~F.col("kmer").cast("string").rlike("[^ACGTacgt]"))
-    return known.select("kmer", "rid", "strand", F.col("pos").cast("bigint").alias("pos"), (start + F.col("pos")).alias("gpos"))
+    flat = contig_seqs.select("rid", "offset", "l_pac", F.posexplode(kmer_array(F.col("seq"), k)).alias("pos", "kmer"))
+    return flat.where(~F.col("kmer").cast("string").rlike("[^ACGTacgt]")).select("kmer", "rid", (F.col("offset") + F.col("pos")).alias("gpos"), "l_pac")
+
+
+def both_strands(forward: DataFrame, k: int) -> DataFrame:
+    """``kmer, rid, strand, gpos`` of both strands on the doubled axis, where the reverse of the whole axis follows it."""
+    turned = forward.select(revcomp(F.col("kmer").cast("string")).cast("binary").alias("kmer"), "rid", F.lit(1).alias("strand"), (2 * F.col("l_pac") - F.col("gpos") - k).alias("gpos"))
+    return forward.select("kmer", "rid", F.lit(0).alias("strand"), "gpos").unionByName(turned)
 
 
 def suffix_ranks(spark: SparkSession, text: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ FIXTURES["dna_n"] = "SELECT doc_id, concat(substring(seq, 1, CAST(floor(length(s
 
 
 def tables(spark, d, reads="reads"):
-    """Contigs with sequence, k-mers of both strands, and reads."""
+    """Contigs with sequence, their k-mers, and reads."""
     seqs = index.sequences(fixture(spark, d, "dna"))
     return seqs, index.kmers(seqs, K), fixture(spark, d, reads)
 
@@ -47,7 +47,7 @@ def idx_holes(spark, d):
 @query("idx_kmers", f"WITH {_KM} SELECT strand, kmer, count(*) AS n, CAST(min(gpos) AS BIGINT) AS first_gpos FROM km GROUP BY strand, kmer")
 def idx_kmers(spark, d):
     _, kmers, _ = tables(spark, d)
-    return kmers.groupBy("strand", F.col("kmer").cast("string").alias("kmer")).agg(F.count("*").alias("n"), F.min("gpos").alias("first_gpos"))
+    return index.both_strands(kmers, K).groupBy("strand", F.col("kmer").cast("string").alias("kmer")).agg(F.count("*").alias("n"), F.min("gpos").alias("first_gpos"))
 
 
 _ITEM = "SELECT item_id AS doc_id, seq FROM (SELECT item_id, translate(regexp_replace(lower(text), '[^a-z]', ''<g>), 'abcdefghijklmnopqrstuvwxyz', 'acgtacgtacgtacgtacgtacgtac') AS seq FROM {benchmark}) AS x"
