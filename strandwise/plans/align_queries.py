@@ -12,9 +12,9 @@ from strandwise.operators import kernels as K
 from strandwise.operators import pairing as P
 from strandwise.operators.grouped import per_group
 from strandwise.plans.registry import FIXTURES, fixture, query
+from strandwise.plans.scratch import scratch_folder
 from strandwise.plans.search_queries import _KM, tables
 from strandwise.plans.search_queries import K as SEED
-from strandwise.plans.source_queries import _folder
 from strandwise.sources import sam
 
 SC = K.Scoring()
@@ -224,7 +224,7 @@ def stream_align(spark, d):
     """Reads as a file stream, aligned a micro-batch at a time."""
     from strandwise.streaming.align import run_batches
 
-    source, out, state = (_folder(spark, f"stream-{x}") for x in ("in", "out", "state"))
+    source, out, state = (scratch_folder(spark, f"stream-{x}") for x in ("in", "out", "state"))
     seqs, kmers, reads = tables(spark, d)
     reads.select("read_id", "seq").repartition(2).write.parquet(source)
 
@@ -241,7 +241,7 @@ def stream_isize(spark, d):
     """Insert sizes of a file stream of pairs; a batch where an orientation fails uses what it had."""
     from strandwise.streaming.align import CarriedStats, run_batches
 
-    source, out, state = (_folder(spark, f"stream-{x}") for x in ("in", "out", "state"))
+    source, out, state = (scratch_folder(spark, f"stream-{x}") for x in ("in", "out", "state"))
     ends = P.unique_pairs(fixture(spark, d, "ends")).select("pair_id", "orient", "dist")
     ends.repartitionByRange(3, "pair_id").write.parquet(source)
     carried = CarriedStats()

@@ -2,13 +2,35 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
+_SWEPT: set[str] = set()
+
+
+def scratch_folder(spark: SparkSession, label: str) -> str:
+    """A path below ``spark.checkpoint.dir`` that nothing else uses; the session's are removed when the driver ends."""
+    root = (spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()).rstrip("/")
+    own = f"{root}/{spark.sparkContext.applicationId}/engine"
+    if own not in _SWEPT:
+        _SWEPT.add(own)
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(own)
+        system = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        atexit.register(_remove, system, path)
+    return f"{own}/{label}-{uuid.uuid4().hex}"
+
+
+def _remove(system, path) -> None:
+    with contextlib.suppress(Exception):  # the JVM may be gone first
+        system.delete(path, True)
+
 
 def materialise(spark: SparkSession, df: DataFrame) -> DataFrame:
     """A reliable checkpoint of ``df`` in ``spark.checkpoint.dir``; tests without one get a folder of their own."""
     if spark.sparkContext.getCheckpointDir() is None:
-        import tempfile
-
         spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="strandwise-"))
     return df.checkpoint()

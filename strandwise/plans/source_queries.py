@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 import strandwise.plans.fixtures  # noqa: F401  (defines the derived tables)
@@ -11,18 +9,12 @@ from strandwise.functions import sequence as S
 from strandwise.operators import index
 from strandwise.plans.prefix import running_totals
 from strandwise.plans.registry import FIXTURES, fixture, query
+from strandwise.plans.scratch import scratch_folder
 from strandwise.sources import records, sam
 
 
-def _folder(spark, label: str) -> str:
-    import tempfile
-
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    return f"{root.rstrip('/')}/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
-
-
 def _written(spark, df, label: str) -> str:
-    path = _folder(spark, label)
+    path = scratch_folder(spark, label)
     df.write.text(path)
     records.register(spark)
     return path
@@ -56,7 +48,7 @@ def src_fastx(spark, d):
 
 @query("src_bam", "SELECT name, CASE WHEN ordinal % 3 = 2 THEN '4' ELSE CAST(1 + ordinal % 3 AS VARCHAR) END AS comment, upper(seq) AS seq, qual FROM {fastq} WHERE length(seq) > 0 AND ordinal % 3 <> 1")
 def src_bam(spark, d):
-    folder = _folder(spark, "bam")
+    folder = scratch_folder(spark, "bam")
     rows = fixture(spark, d, "fastq").where("length(seq) > 0").select("ordinal", "name", "seq", "qual")
 
     def write(batches):
