@@ -254,7 +254,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, shingle: int = 5, bits
 # ---- a stated similarity ---------------------------------------------------------------------------------------
 
 WIDE_WORDS = 4
-TABLES = 96
+TABLES = 64
 DIRECT = 4096
 #: An edited word changes two shingles of two words but five of five, so anchors come from the former.
 ANCHOR_SHINGLE = 2
