@@ -18,6 +18,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
 _ROOTS: dict[str, str] = {}
+_SWEPT: set[str] = set()
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -34,8 +35,18 @@ def shared_root(spark: SparkSession) -> str:
 
 
 def new_folder(spark: SparkSession, label: str) -> str:
-    """A path below the shared folder that nothing else uses."""
-    return f"{shared_root(spark)}/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+    """A path below the shared folder that nothing else uses; the session's are removed when the driver ends."""
+    own = f"{shared_root(spark)}/{spark.sparkContext.applicationId}/corpus"
+    if own not in _SWEPT:
+        _SWEPT.add(own)
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(own)
+        atexit.register(_remove, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path)
+    return f"{own}/{label}-{uuid.uuid4().hex}"
+
+
+def _remove(system, path) -> None:
+    with contextlib.suppress(Exception):  # the JVM may be gone first
+        system.delete(path, True)
 
 
 def write_table(spark: SparkSession, df: DataFrame, label: str) -> DataFrame:
