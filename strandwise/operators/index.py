@@ -49,7 +49,10 @@ def kmers(contig_seqs: DataFrame, k: int) -> DataFrame:
     Searches turn their reads around instead of the reference, which halves
     the larger side of every join.
     """
-    flat = contig_seqs.select("rid", "offset", "l_pac", F.posexplode(kmer_array(F.col("seq"), k)).alias("pos", "kmer"))
+    # sequences come in ranges of the running totals; dealt again, many tasks take them apart
+    n = int(contig_seqs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = contig_seqs.select("rid", "offset", "l_pac", "seq").repartition(n, "rid")
+    flat = dealt.select("rid", "offset", "l_pac", F.posexplode(kmer_array(F.col("seq"), k)).alias("pos", "kmer"))
     return flat.where(~F.col("kmer").cast("string").rlike("[^ACGTacgt]")).select("kmer", "rid", (F.col("offset") + F.col("pos")).alias("gpos"), "l_pac")
 
 
