@@ -254,156 +254,122 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, shingle: int = 5, bits
 # ---- a stated similarity ---------------------------------------------------------------------------------------
 
 WIDE_WORDS = 4
-TABLES = 64
-DIRECT = 4096
-#: An edited word changes two shingles of two words but five of five, so anchors come from the former.
-ANCHOR_SHINGLE = 2
-#: Standard deviations of a fingerprint's error that a pair at the threshold is allowed.
-LEEWAY = 2.0
-#: Pairs within the bits expected at this similarity are taken without a look at their shingles.
-SURE = 0.9
-#: Edge-disjoint forests of open pairs that an anchor passes on.
-FORESTS = 3
-
-
-def wide_fingerprint(words: list[bytes], shingle: int) -> np.ndarray:
-    """256 bits, as four words, of the set of shingles of a text; no words give zeros."""
-    if not words:
-        return np.zeros(WIDE_WORDS, np.uint64)
+#: Texts whose shingles are counted for the order of shingles, and the most shingles whose count is kept.
+SAMPLE_TEXTS, SAMPLE_SHINGLES = 10_000, 50_000
+#: Pairs held before they are passed on.
+HELD_PAIRS = 1 << 20
+
+
+def shingle_set(text: str | None, shingle: int) -> np.ndarray:
+    """The distinct hashes of the word shingles of a text, in order; a text of fewer words is one shingle."""
+    words = text.encode().lower().split() if text else []
     flat = b" ".join(words)
     at = list(itertools.accumulate((len(w) + 1 for w in words), initial=0))
+    ends = at[shingle:] if len(words) > shingle else [len(flat) + 1]
     digest = xxhash.xxh64_intdigest
-    n = max(1, len(words) - shingle + 1)
-    ends = at[shingle:] if len(words) > shingle else at[-1:]
-    hashes = np.unique(np.fromiter((digest(flat[a : b - 1], SEED) for a, b in zip(at, ends)), np.uint64, n))
-    out = np.zeros(WIDE_WORDS, np.uint64)
-    for k in range(WIDE_WORDS):
-        ones = np.zeros(64, np.int64)
-        for i in range(0, len(hashes), 1 << 15):
-            h = hashes[i : i + (1 << 15)] + np.uint64(k * 0x9E3779B97F4A7C15 % 2**64)
-            h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-            h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-            h ^= h >> np.uint64(31)
-            ones += np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-        out[k] = np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0]
-    return out
-
-
-def bits_at(similarity: float, leeway: float = 0.0, bits: int = 64 * WIDE_WORDS) -> int:
-    """Differing bits expected of two sets of equal size with this Jaccard similarity, and some deviations more."""
-    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return round(bits * p + leeway * math.sqrt(bits * p * (1 - p)))
-
-
-@lru_cache(maxsize=1)
-def _table_bits() -> np.ndarray:
-    """The 46 of 256 bits that each table takes, fixed by a seed."""
-    rng = np.random.default_rng(SEED)
-    return np.array([rng.permutation(64 * WIDE_WORDS)[:46] for _ in range(TABLES)])
-
-
-@lru_cache(maxsize=1)
-def _leaders() -> np.ndarray:
-    """The error pattern of every syndrome of the Golay code."""
-    return np.array([next(p for beyond, p in row if beyond == 0) for row in _flips(23, GOLAY, 0)], np.uint64)
-
-
-def table_anchors(wide: np.ndarray) -> np.ndarray:
-    """``[table, row]`` keys: the anchors of two Golay blocks of the table's bits, and the table."""
-    bits = np.unpackbits(wide.astype("<u8").view(np.uint8).reshape(len(wide), -1), axis=1, bitorder="little").astype(np.uint64)
-    weights = np.uint64(1) << np.arange(23, dtype=np.uint64)
-    out = np.zeros((TABLES, len(wide)), np.uint64)
-    for t, chosen in enumerate(_table_bits()):
-        key = np.full(len(wide), t, np.uint64)
-        for half in (chosen[:23], chosen[23:]):
-            block = bits[:, half] @ weights
-            word = block ^ _leaders()[_syndromes(block, 23, GOLAY).astype(np.int64)]
-            key = (key << np.uint64(12)) | (word >> np.uint64(11))
-        out[t] = key
-    return out
-
-
-def _group_pairs(wide: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows of one large anchor: each row with the leaders near it, a leader being a row near no earlier one.
-
-    Up to DIRECT rows every row leads, and of its later neighbours those that
-    an earlier leader reached within half the bits are left out, so a dense
-    group gives few pairs a row.
+    return np.unique(np.fromiter((digest(flat[a : b - 1], SEED) for a, b in zip(at, ends)), np.uint64, len(ends)))
+
+
+def parities(hashes: np.ndarray) -> np.ndarray:
+    """256 bits, as four words: the parity of the number of hashes in each of 256 buckets.
+
+    A hash that one of two sets lacks flips one bit, so two sets differ in at
+    least as many hashes as their parities differ in bits.
     """
-    n = len(wide)
-    free = np.ones(n, bool)
-    left, right = [], []
-    for a in range(n):
-        if not free[a]:
-            continue
-        bits = np.bitwise_count(wide ^ wide[a]).sum(1)
-        near = np.flatnonzero(bits <= most)
-        free[near if n > DIRECT else np.flatnonzero(bits <= most // 2)] = False
-        near = near[near != a]
-        left.append(np.full(len(near), a))
-        right.append(near)
-    return np.concatenate(left), np.concatenate(right)
-
-
-def _thinned(n: int, i: np.ndarray, j: np.ndarray, wide: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A sparse set of near pairs with the same connections: O(n) of the O(n^2) a dense group has.
-
-    Of the sure pairs a spanning forest stays; of the open ones, which may yet
-    be refused, FORESTS edge-disjoint forests between sure groups, nearest
-    pairs first.
+    odd = np.bincount((hashes >> np.uint64(56)).astype(np.int64), minlength=64 * WIDE_WORDS) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<u8")
+
+
+def least_common(both: np.ndarray, similarity: float) -> np.ndarray:
+    """The least common shingles of two sets that similar, from the sum of their sizes."""
+    return np.ceil(both * (similarity / (1 + similarity)) - 1e-9).astype(np.int64)
+
+
+def prefix_of(hashes: np.ndarray, often: tuple[np.ndarray, np.ndarray], similarity: float) -> np.ndarray:
+    """The first hashes by (count in the sample, hash): two sets that similar share one of these.
+
+    Any order of all hashes is right; one that begins with rare hashes gives few chance meetings.
     """
-    bits = np.bitwise_count(wide[i] ^ wide[j]).sum(1).astype(np.int64)
-    order = np.argsort(bits, kind="stable")
-    i, j, bits = i[order], j[order], bits[order]
-    kept: list[int] = []
-
-    def forest(up: list[int], candidates: list[int]) -> list[int]:
-        """Takes the candidates that join two trees, and gives back the rest."""
-        rest = []
-        for e in candidates:
-            a, b = int(i[e]), int(j[e])
-            while up[a] != a:
-                up[a] = a = up[up[a]]
-            while up[b] != b:
-                up[b] = b = up[up[b]]
-            if a == b:
-                rest.append(e)
-            else:
-                up[max(a, b)] = min(a, b)
-                kept.append(e)
-        return rest
-
-    sure = list(range(n))
-    first_open = int(np.searchsorted(bits, bits_at(SURE), side="right"))
-    forest(sure, list(range(first_open)))
-    base = _settle(n, np.arange(n), np.array(sure, np.int64)) if n else np.zeros(0, np.int64)
-    left = [e for e in range(first_open, len(i)) if base[i[e]] != base[j[e]]]
-    for _ in range(FORESTS):
-        left = forest(list(sure), left)
-    picked = np.array(kept, np.int64)
-    return i[picked], j[picked]
-
-
-def _wide_pairs(keys: np.ndarray, nodes: np.ndarray, wide: np.ndarray, most: int) -> list[np.ndarray]:
-    """``a, b, bits`` of pairs that connect what is near within runs of equal keys, a few for each row (:func:`_thinned`)."""
-    starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    sizes = np.diff(np.concatenate([starts, [len(keys)]]))
-    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    small = 16
-    for shift in range(1, small):
-        i = np.flatnonzero(keys[shift:] == keys[:-shift])
-        if not len(i):
-            break
-        i = i[np.repeat(sizes <= small, sizes)[i]]
-        i = i[np.bitwise_count(wide[i] ^ wide[i + shift]).sum(1) <= most]
-        left.append(i)
-        right.append(i + shift)
-    for s, n in zip(starts[sizes > small].tolist(), sizes[sizes > small].tolist(), strict=True):
-        i, j = _group_pairs(wide[s : s + n], most)
-        left.append(s + i)
-        right.append(s + j)
-    i, j = _thinned(len(keys), np.concatenate(left), np.concatenate(right), wide)
-    return [np.minimum(nodes[i], nodes[j]), np.maximum(nodes[i], nodes[j]), np.bitwise_count(wide[i] ^ wide[j]).sum(1).astype(np.int64)]
+    known, counts = often
+    rank = np.zeros(len(hashes), np.int64)
+    if len(known):
+        at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+        rank = np.where(known[at] == hashes, counts[at], 0)
+    n = len(hashes)
+    return hashes[np.lexsort((hashes, rank))][: n - math.ceil(similarity * n - 1e-9) + 1]
+
+
+def _often(spark: SparkSession, docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes, in order, of shingles frequent in a sample of the texts, and their counts; bounded whatever the input."""
+    every = max(1, docs.count() // SAMPLE_TEXTS)
+
+    def run(batches):
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(text, shingle).view(np.int64))], ["h"])
+
+    some = docs.select("text").where(F.pmod(F.xxhash64("text"), F.lit(every)) == 0).mapInArrow(run, "h bigint")
+    counts = some.groupBy("h").agg(F.count("*").alias("n")).where("n > 2").orderBy(F.desc("n"), "h").limit(SAMPLE_SHINGLES).toArrow()
+    known = counts.column("h").to_numpy().view(np.uint64)
+    order = np.argsort(known)
+    return known[order], counts.column("n").to_numpy()[order]
+
+
+class _Group:
+    """Rows sorted by anchor and size, of which those with one anchor may be pairs."""
+
+    def __init__(self, cols: list[np.ndarray], similarity: float):
+        self.keys, self.nodes, self.sizes, self.places, self.roots = cols[:5]
+        self.wide = np.stack(cols[5:], 1).view(np.uint64)
+        self.similarity = similarity
+
+    def possible(self, i, j) -> tuple[np.ndarray, np.ndarray]:
+        """Whether two rows may be that similar, and the differing bits of their parities; never wrong about a pair that is.
+
+        What they share lies from the places of the anchor on where the anchor
+        is their first common hash, and a pair is found there at the latest.
+        """
+        both = self.sizes[i] + self.sizes[j]
+        least = least_common(both, self.similarity)
+        bits = np.bitwise_count(self.wide[i] ^ self.wide[j]).sum(1).astype(np.int64)
+        left = np.minimum(self.sizes[i] - self.places[i], self.sizes[j] - self.places[j])
+        return (left >= least) & (bits <= both - 2 * least) & (self.roots[i] != self.roots[j]), bits
+
+    def candidates(self):
+        """``i, j, bits`` of every possible pair, ``i`` before ``j``."""
+        starts = np.flatnonzero(np.concatenate([[True], self.keys[1:] != self.keys[:-1]]))
+        counts = np.diff(np.concatenate([starts, [len(self.keys)]]))
+        small = 16
+        few = np.repeat(counts <= small, counts)
+        for shift in range(1, small):
+            i = np.flatnonzero((self.keys[shift:] == self.keys[:-shift]) & few[shift:])
+            if not len(i):
+                break
+            ok, bits = self.possible(i, i + shift)
+            yield i[ok], i[ok] + shift, bits[ok]
+        for s, n in zip(starts[counts > small].tolist(), counts[counts > small].tolist(), strict=True):
+            if (self.roots[s : s + n] == self.roots[s]).all():
+                continue
+            ends = s + np.searchsorted(self.sizes[s : s + n], self.sizes[s : s + n] / self.similarity + 1e-6, side="right")
+            for a in range(s, s + n - 1):
+                j = np.arange(a + 1, ends[a - s])
+                if len(j):
+                    ok, bits = self.possible(np.full(len(j), a), j)
+                    j = j[ok]
+                    yield np.full(len(j), a), j, bits[ok]
+
+    def pairs(self, i, j) -> list[np.ndarray]:
+        return [np.minimum(self.nodes[i], self.nodes[j]), np.maximum(self.nodes[i], self.nodes[j])]
+
+    def nearest(self):
+        """``a, b`` of each row and the nearest possible one before it: at most one pair a row."""
+        best = np.full(len(self.keys), np.iinfo(np.int64).max)
+        partner = np.full(len(self.keys), -1)
+        for i, j, bits in self.candidates():  # no j twice in one yield
+            nearer = bits < best[j]
+            best[j[nearer]], partner[j[nearer]] = bits[nearer], i[nearer]
+        j = np.flatnonzero(partner >= 0)
+        yield self.pairs(partner[j], j)
 
 
 def _shingle_sets(spark: SparkSession, docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
@@ -411,95 +377,94 @@ def _shingle_sets(spark: SparkSession, docs: DataFrame, wanted: DataFrame, shing
 
     def run(batches):
         for batch in batches:
-            out = []
-            for text in batch.column(1).to_pylist():
-                words = text.encode().lower().split()
-                grams = (b" ".join(words[i : i + shingle]) for i in range(max(1, len(words) - shingle + 1)))
-                out.append(np.array(sorted({xxhash.xxh64_intdigest(g, SEED) for g in grams}), np.uint64).view(np.int64))
+            out = [shingle_set(text, shingle).view(np.int64) for text in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int64()))], ["node", "hashes"])
 
     texts = docs.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("key"), F.coalesce("text", F.lit("")).alias("text")).join(wanted, "key").dropDuplicates(["node"])
     return texts.select("node", "text").mapInArrow(run, "node bigint, hashes array<bigint>")
 
 
+def _alike(spark: SparkSession, docs: DataFrame, rows: DataFrame, pairs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The ``pairs(a, b)`` whose sets of shingles are that similar."""
+    ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+    wanted = write_table(spark, rows.join(ends, "node", "left_semi").groupBy("node").agg(F.min("key").alias("key")), "wanted-texts")
+    sets = write_table(spark, _shingle_sets(spark, docs, wanted, shingle), "shingle-sets")
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("ha")), "a").join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("hb")), "b")
+    common = F.size(F.array_intersect("ha", "hb"))
+    return write_table(spark, both.where(common >= similarity * (F.size("ha") + F.size("hb") - common)).select("a", "b"), "alike")
+
+
 def similar_groups(spark: SparkSession, docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """``(doc_id, key, node)`` of ``docs(doc_id, text)``: rows with the same ``node`` are near-duplicates.
 
-    Jaccard similarity of sets of word shingles is estimated from 256-bit
-    fingerprints: a pair within the differing bits expected at SURE is linked,
-    and one up to those at ``similarity`` and LEEWAY deviations more is linked
-    if the shingles of both texts are that similar.  A radius that wide has no useful covering of
-    64 bits, so TABLES tables each put a document at one anchor, within the
-    covering radius of 46 bits of a second fingerprint, of two-word shingles,
-    and documents that meet at any anchor are compared; the README has the
-    recall measured.  ``key`` is a hash of the
+    Two texts are linked if the Jaccard similarity of their sets of word
+    shingles is ``similarity`` or more.  Of two such sets of any sizes the
+    prefixes (:func:`prefix_of`) share a hash, so a text is sent to each hash
+    of its prefix, and texts that meet are candidates unless the sizes, the
+    places or the parities rule them out; none of these refuses a pair that is
+    that similar.  The sets themselves decide candidates.  ``key`` is a hash of the
     text.  Blank texts are one group; repeated rows share a group.
     """
-    most = bits_at(similarity, LEEWAY)
+    names = [f"w{k}" for k in range(WIDE_WORDS)]
+    bounded_batches(spark)
+    often = _often(spark, docs, shingle)
 
     def prints(batches):
         for batch in batches:
-            words = [t.encode().lower().split() if t else [] for t in batch.column(2).to_pylist()]
-            both = [np.array([wide_fingerprint(w, k) for w in words], np.uint64).reshape(-1, WIDE_WORDS) for k in (shingle, ANCHOR_SHINGLE)]
-            cols = [pa.array(w[:, k].copy().view(np.int64)) for w in both for k in range(WIDE_WORDS)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *cols], ["doc_id", "key", *names, *anchor_names])
+            sets = [shingle_set(t, shingle) for t in batch.column(2).to_pylist()]
+            wide = np.array([parities(h) for h in sets], np.uint64).reshape(-1, WIDE_WORDS)
+            nodes = np.array([xxhash.xxh64_intdigest(h.tobytes(), SEED) for h in sets], np.uint64).view(np.int64)
+            prefix = pa.array([prefix_of(h, often, similarity).view(np.int64) for h in sets], pa.list_(pa.int64()))
+            cols = [pa.array(nodes), pa.array([len(h) for h in sets], pa.int64()), *(pa.array(wide[:, k].copy().view(np.int64)) for k in range(WIDE_WORDS)), prefix]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *cols], ["doc_id", "key", "node", "size", *names, "prefix"])
 
-    names, anchor_names = [f"w{k}" for k in range(WIDE_WORDS)], [f"a{k}" for k in range(WIDE_WORDS)]
-    bounded_batches(spark)
     own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("key"), "text")
-    schema = f"doc_id bigint, key bigint, {', '.join(f'{w} bigint' for w in [*names, *anchor_names])}"
-    rows = own.mapInArrow(prints, schema).withColumn("node", F.xxhash64(*names, *anchor_names))
-    rows = write_table(spark, rows, "wide-fingerprints")
+    schema = f"doc_id bigint, key bigint, node bigint, size bigint, {', '.join(f'{w} bigint' for w in names)}, prefix array<bigint>"
+    rows = write_table(spark, own.mapInArrow(prints, schema), "prefixes")
+    columns = ["anchor", "node", "size", "place", "root", *names]
 
     def replicate(batches):
         for batch in batches:
-            wide = np.stack([batch.column(k + 1 + WIDE_WORDS).to_numpy() for k in range(WIDE_WORDS)], 1).view(np.uint64)
-            kept = batch.columns[: 1 + WIDE_WORDS]
-            for i in range(0, len(wide), 2000):
-                keys = table_anchors(wide[i : i + 2000])
-                again = pa.array(np.tile(np.arange(i, i + keys.shape[1]), TABLES))
-                yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), *(c.take(again) for c in kept)], ["anchor", "node", *names])
-
-    def compare(batches):
-        held: list[np.ndarray] | None = None
-
-        def links(cols):
-            pairs = _wide_pairs(cols[0], cols[1], np.stack(cols[2:], 1).view(np.uint64), most)
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in pairs], ["a", "b", "bits"])
-
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            cols = [c.to_numpy() for c in batch.columns]
-            held = cols if held is None else [np.concatenate(x) for x in zip(held, cols, strict=True)]
-            end = int(np.searchsorted(held[0], held[0][-1]))
-            if end:
-                yield links([c[:end] for c in held])
-                held = [c[end:] for c in held]
-        if held is not None:
-            yield links(held)
-
-    columns = ", ".join(f"{c} bigint" for c in ("anchor", "node", *names))
-    distinct = rows.select("node", *names, *anchor_names).distinct()
-    at = distinct.mapInArrow(replicate, columns)
-    pairs = at.repartition("anchor").sortWithinPartitions("anchor", "node").mapInArrow(compare, "a bigint, b bigint, bits bigint")
-    pairs = write_table(spark, pairs.distinct(), "near-pairs")
-    sure = connected_components(spark, pairs.where(F.col("bits") <= bits_at(SURE)))
-
-    # what is left between different groups is decided by the shingles themselves
-    root = lambda c, r: sure.select(F.col("node").alias(c), F.col("root").alias(r))
-    open_ = pairs.where(F.col("bits") > bits_at(SURE)).join(root("a", "ra"), "a", "left").join(root("b", "rb"), "b", "left")
-    open_ = open_.select("a", "b", F.coalesce("ra", "a").alias("ra"), F.coalesce("rb", "b").alias("rb")).where("ra <> rb")
-    open_ = write_table(spark, open_, "open-pairs")
-    ends = open_.select(F.col("a").alias("node")).union(open_.select(F.col("b").alias("node"))).distinct()
-    wanted = write_table(spark, rows.join(ends, "node", "left_semi").groupBy("node").agg(F.min("key").alias("key")), "wanted-texts")
-    sets = write_table(spark, _shingle_sets(spark, docs, wanted, shingle), "shingle-sets")
-    both = open_.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("ha")), "a").join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("hb")), "b")
-    common = F.size(F.array_intersect("ha", "hb"))
-    alike = both.where(common >= similarity * (F.size("ha") + F.size("hb") - common)).select(F.col("ra").alias("a"), F.col("rb").alias("b"))
-    more = connected_components(spark, alike)
-    first = rows.join(sure, "node", "left").select("doc_id", "key", F.coalesce("root", "node").alias("node"))
-    return first.join(more, "node", "left").select("doc_id", "key", F.coalesce("root", "node").alias("node"))
+            for i in range(0, batch.num_rows, 200):
+                part = batch.slice(i, 200)
+                prefix = part.column(0)
+                counts = prefix.value_lengths().to_numpy()
+                again = np.repeat(np.arange(len(counts)), counts)
+                place = np.arange(len(again)) - np.repeat(np.cumsum(counts) - counts, counts)
+                node, size, root, *wide = (c.take(pa.array(again)) for c in part.columns[1:])
+                yield pa.RecordBatch.from_arrays([prefix.flatten(), node, size, pa.array(place), root, *wide], columns)
+
+    def compared(found):
+        def run(batches):
+            held: list[np.ndarray] | None = None
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                cols = [c.to_numpy() for c in batch.columns]
+                held = cols if held is None else [np.concatenate(x) for x in zip(held, cols, strict=True)]
+                end = int(np.searchsorted(held[0], held[0][-1]))
+                if end:
+                    yield from found(_Group([c[:end] for c in held], similarity))
+                    held = [c[end:] for c in held]
+            if held is not None:
+                yield from found(_Group(held, similarity))
+
+        return run
+
+    def nearest(group):
+        for a, b in group.nearest():
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    def sent(nodes):
+        at = nodes.select("prefix", "node", "size", "root", *names).mapInArrow(replicate, ", ".join(f"{c} bigint" for c in columns))
+        return at.repartition("anchor")
+
+    met = lambda at: at.sortWithinPartitions("anchor", "size", "node")
+    distinct = rows.dropDuplicates(["node"])
+    first = met(sent(distinct.withColumn("root", F.col("node")))).mapInArrow(compared(nearest), "a bigint, b bigint")
+    first = write_table(spark, first.distinct(), "near-pairs")
+    linked = connected_components(spark, _alike(spark, docs, rows, first, shingle, similarity))
+    return rows.join(linked, "node", "left").select("doc_id", "key", F.coalesce("root", "node").alias("node"))
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:

@@ -125,6 +125,35 @@ def test_keep_one_of_each_group(spark):
     assert op5_simhash.keep_one(spark, empty(spark)).count() == 0
 
 
+def plain_groups(rows, shingle=5, similarity=0.8):
+    sets = []
+    for r in rows:
+        words = (r[1] or "").encode().lower().split()
+        sets.append({tuple(words[i : i + shingle]) for i in range(max(1, len(words) - shingle + 1))})
+    alike = lambda a, b: len(a & b) >= similarity * len(a | b)
+    return roots_of(len(rows), [(i, j) for i in range(len(rows)) for j in range(i) if alike(sets[i], sets[j])])
+
+
+def assert_groups(spark, rows):
+    """similar_groups puts rows with distinct ids together exactly where brute force does."""
+    got = {r.doc_id: r.node for r in op5_simhash.similar_groups(spark, table(spark, rows)).collect()}
+    root = plain_groups(rows)
+    assert len(set(zip(root, (got[r[0]] for r in rows)))) == len(set(root)) == len(set(got.values()))
+
+
+def contiguous_edits():
+    rows = []
+    for k in range(60):  # one paragraph more: similarity falls from 0.91 to 0.79
+        body = prose(1000 + k, 300).split()
+        rows.append((2 * k, " ".join(body), "en", "s0", 0))
+        rows.append((2 * k + 1, " ".join(body[: 5 * k] + prose(3000 + k, 26 + k * 52 // 60).split() + body[5 * k :]), "en", "s0", 0))
+    return rows
+
+
+def test_similar_groups_find_every_contiguous_edit(spark):
+    assert_groups(spark, contiguous_edits())
+
+
 # ---- sharding ----
 
 
