@@ -362,14 +362,39 @@ class _Group:
         return [np.minimum(self.nodes[i], self.nodes[j]), np.maximum(self.nodes[i], self.nodes[j])]
 
     def nearest(self):
-        """``a, b`` of each row and the nearest possible one before it: at most one pair a row."""
+        """``anchor, a, b`` of each row and the nearest possible one before it, and the anchors where a row had others.
+
+        The former have no anchor, the latter no pair.
+        """
         best = np.full(len(self.keys), np.iinfo(np.int64).max)
+        more = np.zeros(len(self.keys), bool)
         partner = np.full(len(self.keys), -1)
         for i, j, bits in self.candidates():  # no j twice in one yield
+            more[j[partner[j] >= 0]] = True
             nearer = bits < best[j]
             best[j[nearer]], partner[j[nearer]] = bits[nearer], i[nearer]
         j = np.flatnonzero(partner >= 0)
-        yield self.pairs(partner[j], j)
+        yield [pa.nulls(len(j), pa.int64()), *map(pa.array, self.pairs(partner[j], j))]
+        anchors = np.unique(self.keys[more])
+        yield [pa.array(anchors), pa.nulls(len(anchors), pa.int64()), pa.nulls(len(anchors), pa.int64())]
+
+    def rest(self):
+        """``anchor, a, b`` of every possible pair, without the anchor."""
+        held_i, held_j, n = [], [], 0
+
+        def flush():
+            pairs = np.unique(np.stack(self.pairs(np.concatenate(held_i), np.concatenate(held_j)), 1), axis=0)
+            return [pa.nulls(len(pairs), pa.int64()), pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())]
+
+        for i, j, _ in self.candidates():
+            held_i.append(i)
+            held_j.append(j)
+            n += len(i)
+            if n >= HELD_PAIRS:
+                yield flush()
+                held_i, held_j, n = [], [], 0
+        if n:
+            yield flush()
 
 
 def _shingle_sets(spark: SparkSession, docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
@@ -402,7 +427,9 @@ def similar_groups(spark: SparkSession, docs: DataFrame, shingle: int = 5, simil
     prefixes (:func:`prefix_of`) share a hash, so a text is sent to each hash
     of its prefix, and texts that meet are candidates unless the sizes, the
     places or the parities rule them out; none of these refuses a pair that is
-    that similar.  The sets themselves decide candidates.  ``key`` is a hash of the
+    that similar.  The sets themselves decide candidates: first the nearest one
+    of each row at each hash, which settles dense groups with few pairs, and
+    then every candidate whose ends are still apart.  ``key`` is a hash of the
     text.  Blank texts are one group; repeated rows share a group.
     """
     names = [f"w{k}" for k in range(WIDE_WORDS)]
@@ -451,20 +478,31 @@ def similar_groups(spark: SparkSession, docs: DataFrame, shingle: int = 5, simil
 
         return run
 
-    def nearest(group):
-        for a, b in group.nearest():
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+    def batches_of(take):
+        return compared(lambda group: (pa.RecordBatch.from_arrays(cols, ["anchor", "a", "b"]) for cols in take(group)))
+
+    def exploded(nodes):
+        return nodes.select("prefix", "node", "size", "root", *names).mapInArrow(replicate, ", ".join(f"{c} bigint" for c in columns))
 
-    def sent(nodes):
-        at = nodes.select("prefix", "node", "size", "root", *names).mapInArrow(replicate, ", ".join(f"{c} bigint" for c in columns))
-        return at.repartition("anchor")
+    def met(at, take):
+        at = at.repartition("anchor").sortWithinPartitions("anchor", "size", "node")
+        return at.mapInArrow(batches_of(take), "anchor bigint, a bigint, b bigint").distinct()
 
-    met = lambda at: at.sortWithinPartitions("anchor", "size", "node")
     distinct = rows.dropDuplicates(["node"])
-    first = met(sent(distinct.withColumn("root", F.col("node")))).mapInArrow(compared(nearest), "a bigint, b bigint")
-    first = write_table(spark, first.distinct(), "near-pairs")
+    found = write_table(spark, met(exploded(distinct.withColumn("root", F.col("node"))), _Group.nearest), "near-pairs")
+    first = found.where("a is not null").select("a", "b")
     linked = connected_components(spark, _alike(spark, docs, rows, first, shingle, similarity))
-    return rows.join(linked, "node", "left").select("doc_id", "key", F.coalesce("root", "node").alias("node"))
+
+    # what was not offered and is still apart; anchors where each row had one candidate are done
+    crowded = write_table(spark, found.where("anchor is not null").select("anchor").distinct(), "crowded-anchors")
+    again = exploded(distinct.join(linked, "node", "left").withColumn("root", F.coalesce("root", "node"))).join(crowded, "anchor", "left_semi").select(*columns)
+    second = write_table(spark, met(again, _Group.rest).select("a", "b").join(first, ["a", "b"], "left_anti"), "other-pairs")
+    alike = _alike(spark, docs, rows, second, shingle, similarity)
+    root = lambda c, r: linked.select(F.col("node").alias(c), F.col("root").alias(r))
+    apart = alike.join(root("a", "ra"), "a", "left").join(root("b", "rb"), "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
+    more = connected_components(spark, apart)
+    own_root = rows.join(linked, "node", "left").select("doc_id", "key", F.coalesce("root", "node").alias("node"))
+    return own_root.join(more, "node", "left").select("doc_id", "key", F.coalesce("root", "node").alias("node"))
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:

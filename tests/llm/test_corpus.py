@@ -154,6 +154,19 @@ def test_similar_groups_find_every_contiguous_edit(spark):
     assert_groups(spark, contiguous_edits())
 
 
+def test_similar_groups_drop_no_candidate_of_a_crowd(spark, monkeypatch):
+    monkeypatch.setattr(op5_simhash, "SAMPLE_SHINGLES", 0)  # in order of hash, which refuses few pairs early
+    rows = []
+    for g in range(20):  # one text at 0.804 among eleven at 0.798, which are nothing to each other
+        body = prose(5000 + g, 300).split()
+        for k in range(12):
+            less = k != g % 12
+            own = body[: 22 * k] + prose(6000 + 100 * g + k, 26 + less).split() + body[22 * k + 30 + less :]
+            rows.append((len(rows), " ".join(own), "en", "s0", 0))
+        rows.append((len(rows), " ".join(body), "en", "s0", 0))
+    assert_groups(spark, rows)
+
+
 # ---- sharding ----
 
 
