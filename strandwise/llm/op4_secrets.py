@@ -39,7 +39,7 @@ LEAST = {"assign": 12, "access": 18, "hex": 16}
 CONTEXT_WORDS = ("pass", "pwd", "secret", "token", "api", "auth", "credential", "private", "bearer", "login", "key")
 CONTEXT = re.compile(
     r"(?<![A-Za-z])(?:pass(?:word|wd|phrase|code)?|pwd|(?:client[_-]?)?secret(?:[_-]?key)?|(?:auth|access)?[_-]?token|(?:api|access|private|secret)[_-]?key|auth(?:orization)?|credentials?|bearer|login)"
-    r"[\"']?[\x20\t]{0,8}(?::=|=>|[:=]|\x20is\x20)[\x20\t]{0,8}(?:[\"'](?P<quoted>[^\"'\n]{6,256})[\"']|(?P<bare>[^\s\"',;<>]{6,256}))",
+    r"[\"']?[\x20\t]{0,8}(?::=|=>|[:=]|\x20is\x20)[\x20\t]{0,8}(?:[\"'](?P<quoted>[^\"'\n]{6,}+)[\"']|(?P<bare>[^\s\"',;<>]{6,}+))",
     re.IGNORECASE | re.ASCII,
 )
 
@@ -85,8 +85,19 @@ def _char_bits(c: str) -> float:
     return math.log2(33) if c.isascii() else 8.0
 
 
-def guess_bits(value: str) -> float:
-    """log2 of the guesses for ``value``: the cheapest segmentation over all cuts; linear in its length."""
+def _runs(follows: list[bool]) -> list[int]:
+    """The number of true values from each place on."""
+    out = [0] * (len(follows) + 1)
+    for a in range(len(follows) - 1, -1, -1):
+        out[a] = out[a + 1] + 1 if follows[a] else 0
+    return out
+
+
+def guess_bits(value: str, enough: float = math.inf) -> float:
+    """log2 of the guesses for ``value``: the cheapest segmentation over all cuts; linear in its length.
+
+    Where that is ``enough`` or more, any number from ``enough`` up may be given instead.
+    """
     low, n = value.lower(), len(value)
     leet = low.translate(LEET)
     ranks, near = _ranks(), _neighbours()
@@ -100,7 +111,14 @@ def guess_bits(value: str) -> float:
     brute = [0.0]
     for c in value:
         brute.append(brute[-1] + _char_bits(c) + (0.5 if c.isupper() else 0.0))
+    again = [_runs([low[i] == low[i + unit] for i in range(n - unit)]) + [0] * unit for unit in range(1, 5)]
+    walks = _runs([low[i + 1] in near.get(low[i], ()) for i in range(n - 1)])
+    look = 32
     for a in range(n):
+        if a == look:  # every segmentation has a first cut from here on
+            if (least := min(best[a:])) >= enough:
+                return least
+            look *= 2
         # brute force runs on from the best start so far; a run of it pays one segment
         for b in range(a + 1, min(n, a + LONGEST_SEGMENT) + 1):
             offer(a, b, brute[b] - brute[a])
@@ -116,9 +134,7 @@ def guess_bits(value: str) -> float:
             if size in (4, 6, 8, 10) and (date := _date_bits(value[a:b])) is not None:
                 offer(a, b, date)
         for unit in range(1, 5):  # repeats of one to four characters
-            times = 1
-            while low[a + times * unit : a + (times + 1) * unit] == low[a : a + unit] and a + (times + 1) * unit <= n:
-                times += 1
+            times = 1 + again[unit - 1][a] // unit
             if times >= (3 if unit == 1 else 2):
                 offer(a, a + times * unit, brute[a + unit] - brute[a] + math.log2(times))
         step, b = None, a + 1
@@ -126,13 +142,9 @@ def guess_bits(value: str) -> float:
             step, b = d, b + 1
         if b - a >= 3:
             offer(a, b, _char_bits(low[a]) + math.log2(b - a) + 1)
-        b = a + 1
-        turns = 0
-        while b < n and low[b] in near.get(low[b - 1], ()):
-            turns += 1
-            b += 1
-        if b - a >= 4:
-            offer(a, b, math.log2(47) + turns * 1.5)
+        turns = walks[a]
+        if turns >= 3:
+            offer(a, a + 1 + turns, math.log2(47) + turns * 1.5)
     return best[n]
 
 
@@ -178,7 +190,7 @@ def added_spans(text: str, base: list[tuple[int, int, int]], threshold: float =
         end = m.start(name) + len(value)
         if any(a < end and m.start() < b for a, _, b in base):
             continue
-        if len(value) >= 6 and not (name == "quoted" and value.count(" ") > 1) and guess_bits(value) >= threshold:
+        if len(value) >= 6 and not (name == "quoted" and value.count(" ") > 1) and guess_bits(value, threshold) >= threshold:
             out.append((m.start(), 0, end))
     return out
 

@@ -1,6 +1,7 @@
 """Personal data and secrets against plain regular expressions, and their models."""
 
 import hashlib
+import random
 import re
 
 import pytest
@@ -104,3 +105,14 @@ def test_added_secrets(spark):
     docs = table(spark, [(0, "pwd: kJ8#vN2$qwXz", "en", "s", 0), (1, "pwd: changeme", "en", "s", 0), (2, "the token of thinonation was", "en", "s", 0), (3, "password=abcdefgh1234", "en", "s", 0)])
     found = {r.doc_id: len(r.added) for r in op4_secrets.secrets(spark, docs).collect()}
     assert found == {0: 1, 1: 0, 2: 0, 3: 0}
+
+
+def test_long_secrets_are_found_whole():
+    r = random.Random(5)
+    long = "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(1600))
+    for text in (f'private_key="{long}"', f'credentials: "{long}"', f"auth = '{long}'", f"pwd: {long}"):
+        start = text.index(long)
+        ((_, _, end),) = op4_secrets.added_spans(text, [])
+        assert end == start + len(long)
+    assert op4_secrets.added_spans(f"pwd: {'a' * 50_000}", []) == []  # in time linear in the length
+    assert op4_secrets.guess_bits(long, 38.0) >= 38.0 and op4_secrets.guess_bits("qw" * 400) < 38.0
