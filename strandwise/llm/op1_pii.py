@@ -40,8 +40,8 @@ GENERATORS = {
     "card": r"(?<![0-9])[0-9](?:[\x20./_-]{0,2}[0-9]){11,18}",
     "phone": r"(?<![0-9])\(?[0-9]{2,5}\)?(?:[\x20./-]{1,2}\(?[0-9]{2,4}\)?){1,4}",
 }
-#: Cheap tests that a text must pass before its generator runs.
-GATES = {"email": r"@|(?i: dot |[(\[{] ?dot)", "ip": r":[0-9A-Fa-f]{0,4}:|[0-9]\.[0-9]", "card": r"[0-9][\x20./_-]?[0-9]", "phone": r"[0-9][\x20./)-]{1,3}[0-9]"}
+#: Cheap tests that a text must pass before its generator runs; whatever a generator matches passes.
+GATES = {"email": r"@|(?i: at |[(\[{] ?at)", "ip": r":[0-9A-Fa-f]{0,4}:|[0-9]\.[0-9]", "card": r"[0-9][\x20./_-]{0,2}[0-9]", "phone": r"[0-9]\)?[\x20./-]{1,2}\(?[0-9]"}
 CONTEXT = {
     "email": r"(?i)\b(?:e-?mail|mail|contact|write|reach|courriel|correo)\b",
     "ip": r"(?i)\b(?:ip|address|host|server|login from|client|adresse)\b",

@@ -116,3 +116,17 @@ def test_long_secrets_are_found_whole():
         assert end == start + len(long)
     assert op4_secrets.added_spans(f"pwd: {'a' * 50_000}", []) == []  # in time linear in the length
     assert op4_secrets.guess_bits(long, 38.0) >= 38.0 and op4_secrets.guess_bits("qw" * 400) < 38.0
+
+
+def test_gates_pass_whatever_generators_match(spark):
+    forms = {
+        "email": ["jane at example.com", "jane [at] example.com", "jane(AT)example.com", "jane@example.com", "jane { at } example dot com"],
+        "ip": ["1.2.3.4", "fe80::1:2", "1:2:3:4", "a::::"],
+        "card": ["4--1--1--1--1--1--1--1--1--1--1--1--1", "411111111111", "4. 1. 1. 1. 1. 1. 1. 1. 1. 1. 1. 1"],
+        "phone": ["020 (794", "(020) (79)", "02--79", "02.79"],
+    }
+    rows = spark.createDataFrame([(k, t) for k, texts in forms.items() for t in texts], "kind string, t string")
+    for kind in op1_pii.KINDS:
+        mine = rows.where(rows.kind == kind)
+        assert mine.where(mine.t.rlike(op1_pii.GENERATORS[kind])).count() == len(forms[kind])
+        assert mine.where(mine.t.rlike(op1_pii.GATES[kind])).count() == len(forms[kind]), kind
