@@ -139,12 +139,21 @@ def cnt_ambi(spark, d):
 
 @query("intv_ovlp", "SELECT a.read_id, a.k, b.c AS other, CAST(least(a.re, b.e) - greatest(a.rb, b.st) AS BIGINT) AS overlap FROM {regions} a JOIN (SELECT o_orderkey AS c, o_custkey % 25 AS rid, (o_orderkey * 31) % 20000 AS st, (o_orderkey * 31) % 20000 + 1 + o_custkey % 40 AS e FROM {orders}) b ON a.rid = b.rid AND a.rb < b.e AND b.st < a.re WHERE a.score >= 90")
 def intv_ovlp(spark, d):
-    a = fixture(spark, d, "regions").where("score >= 90")
-    b = spark.read.parquet(f"{d}/orders.parquet").selectExpr("o_orderkey other", "cast(o_custkey % 25 as bigint) rid", "(o_orderkey * 31) % 20000 st", "(o_orderkey * 31) % 20000 + 1 + o_custkey % 40 e")
+    return _overlaps(fixture(spark, d, "regions").where("score >= 90"), spark.read.parquet(f"{d}/orders.parquet"))
+
+
+def _overlaps(a, orders):
+    b = orders.selectExpr("o_orderkey other", "cast(o_custkey % 25 as bigint) rid", "(o_orderkey * 31) % 20000 st", "(o_orderkey * 31) % 20000 + 1 + o_custkey % 40 e")
     hit = intervals.interval_join(a, b, ["rid"], "rb", "re", "st", "e", bits=8)
     return hit.select("read_id", "k", "other", (F.least("re", "e") - F.greatest("rb", "st")).alias("overlap"))
 
 
+@query("intv_ovlp_all")
+def intv_ovlp_all(spark, d):
+    """As ``intv_ovlp`` over regions of every score."""
+    return _overlaps(fixture(spark, d, "regions"), spark.read.parquet(f"{d}/orders.parquet"))
+
+
 @query("frac_rep", "WITH o AS (SELECT *, max(qbeg + len) OVER (PARTITION BY read_id ORDER BY qbeg, qbeg + len ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM {seeds} WHERE n_occ > 500) SELECT read_id, CAST(sum(greatest(0, qbeg + len - greatest(qbeg, coalesce(reach, qbeg)))) AS BIGINT) AS l_rep, CAST(sum(greatest(0, qbeg + len - greatest(qbeg, coalesce(reach, qbeg)))) AS DOUBLE) / 150 AS frac_rep FROM o GROUP BY read_id")
 def frac_rep(spark, d):
     often = fixture(spark, d, "seeds").where("n_occ > 500").selectExpr("read_id", "qbeg", "qbeg + len qend")

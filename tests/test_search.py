@@ -6,7 +6,9 @@ import pytest
 
 from strandwise.operators import align as A
 from strandwise.operators import bounded, index, intervals, seeds
+from strandwise.plans.catalog import QUERIES
 from strandwise.plans.prefix import running_totals
+from strandwise.plans.registry import fixture
 
 K = 8
 
@@ -126,3 +128,15 @@ def test_interval_join(spark):
     right = spark.createDataFrame(b, "j long, g long, t long, f long")
     got = sorted((x.i, x.j) for x in intervals.interval_join(left, right, ["g"], "s", "e", "t", "f", bits=4).collect())
     assert got == sorted((x[0], y[0]) for x in a for y in b if x[1] == y[1] and x[2] < y[3] and y[2] < x[3] and x[2] < x[3] and y[2] < y[3])
+
+
+def test_overlaps_of_regions_of_every_score(spark, sf_dir, tmp_path):
+    for name, n in (("lineitem", 600), ("orders", 300), ("documents", None)):
+        df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        (df.orderBy(*df.columns[:4]).limit(n) if n else df).write.parquet(f"{tmp_path}/{name}.parquet")
+    d = str(tmp_path)
+    spans = [(r.o_orderkey, r.o_custkey % 25, r.o_orderkey * 31 % 20000, r.o_orderkey * 31 % 20000 + 1 + r.o_custkey % 40) for r in spark.read.parquet(f"{d}/orders.parquet").collect()]
+    regions = fixture(spark, d, "regions").collect()
+    want = sorted((a.read_id, a.k, other, min(a.re, e) - max(a.rb, st)) for a in regions for other, rid, st, e in spans if a.rid == rid and a.rb < e and st < a.re)
+    assert want and any(a.score < 90 for a in regions)
+    assert sorted(map(tuple, QUERIES["intv_ovlp_all"](spark, d).select("read_id", "k", "other", "overlap").collect())) == want
