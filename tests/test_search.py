@@ -140,3 +140,11 @@ def test_overlaps_of_regions_of_every_score(spark, sf_dir, tmp_path):
     want = sorted((a.read_id, a.k, other, min(a.re, e) - max(a.rb, st)) for a in regions for other, rid, st, e in spans if a.rid == rid and a.rb < e and st < a.re)
     assert want and any(a.score < 90 for a in regions)
     assert sorted(map(tuple, QUERIES["intv_ovlp_all"](spark, d).select("read_id", "k", "other", "overlap").collect())) == want
+
+
+def test_union_of_all_three_seeding_passes(spark, sf_dir):
+    cols = ("read_id", "qb", "qe", "n_occ")
+    rows = QUERIES["seeds_union_all"](spark, sf_dir).select("pass", *cols).collect()
+    assert sorted(tuple(r) for r in rows if r[0] < 3) == sorted(map(tuple, QUERIES["seeds_union"](spark, sf_dir).select("pass", *cols).collect()))
+    third = sorted(tuple(r[1:]) for r in rows if r[0] == 3)
+    assert third and third == sorted(map(tuple, QUERIES["seed3"](spark, sf_dir).select(*cols).collect()))
