@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 import os
+import re
 from functools import lru_cache
 
 import numpy as np
@@ -33,6 +34,11 @@ def _plain(core: str) -> bool:
     return core.isascii() or (max(core) < PLAIN_END and DOTTED_I not in core)
 
 
+def _strings(array: pa.Array) -> list[str]:
+    """``to_pylist`` of strings without a scalar for each."""
+    return array.to_numpy(zero_copy_only=False).tolist()
+
+
 class ChunkEncoder:
     """Texts to little-endian ids, remembering chunks between white space.
 
@@ -43,7 +49,8 @@ class ChunkEncoder:
     of its own, and plain letters are looked up in lower case.  Chunks are told apart by Arrow,
     so Python sees each only once a block of texts.  New words go to
     the library together, as one text whose words the end-of-word tokens part;
-    any other chunk goes there alone.  The cache is emptied when full.
+    any other chunk goes there alone.  A full cache becomes the older one, from
+    which chunks that come again move up, so frequent words are never relearned.
     """
 
     def __init__(self, path: str, width: int, literal_specials: bool = False, entries: int = CACHE_ENTRIES):
@@ -58,11 +65,24 @@ class ChunkEncoder:
         self._dtype = np.dtype(f"<u{width}")
         self._entries = entries
         self._cache: dict[str, bytes] = {}
+        self._old: dict[str, bytes] = {}
         self._specials = [t.content for t in self._tok.get_added_tokens_decoder().values()]
+        self._special = re.compile("|".join(map(re.escape, self._specials)) or "(?!)").search
 
     def _library(self, chunk: str) -> bytes:
         return np.array(self._tok.encode(chunk, add_special_tokens=False).ids, self._dtype).tobytes()
 
+    def _missing(self, chunks) -> list[str]:
+        """Those of the chunks that no cache holds; the ones that only the older cache holds move up."""
+        cache, old, out = self._cache, self._old, []
+        for chunk in chunks:
+            if chunk not in cache:
+                if (ids := old.get(chunk)) is None:
+                    out.append(chunk)
+                else:
+                    cache[chunk] = ids
+        return out
+
     def _learn_words(self, words: list[str]) -> None:
         """Put words of plain lower-case letters into the cache."""
         ids = np.array(self._tok.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids if words else [], np.int64)
@@ -76,9 +96,13 @@ class ChunkEncoder:
             self._cache[word] = flat[at:end]
             at = end
 
-    def _learn(self, chunks: set[str]) -> None:
-        cache, parts, words, runs, alone = self._cache, [], set(), set(), []
-        for chunk in chunks:
+    def _learn(self, chunks: list[str]) -> None:
+        cache, parts, runs, alone = self._cache, [], set(), []
+        special = self._special
+        array = pa.array(chunks, pa.string())
+        bare = pc.and_(pc.ascii_is_alpha(array), pc.ascii_is_lower(array))  # most chunks are words already
+        words = set(_strings(array.filter(bare)))
+        for chunk in _strings(array.filter(pc.invert(bare))):
             if chunk.isalpha() and (chunk.isascii() or _plain(chunk)):
                 low = chunk.lower()
                 words.add(low)
@@ -87,7 +111,7 @@ class ChunkEncoder:
                 continue
             tail = chunk.rstrip(PUNCTUATION)
             core = tail.lstrip(LEADING)
-            if core.isalpha() and _plain(core) and not (any(x in chunk for x in self._specials)):
+            if core.isalpha() and _plain(core) and not special(chunk):
                 low = core.lower()
                 lead, end = chunk[: len(tail) - len(core)], chunk[len(tail) :]
                 parts.append((chunk, lead, low, end))
@@ -96,9 +120,9 @@ class ChunkEncoder:
                 runs.add(end)
             else:
                 alone.append(chunk)
-        for chunk in itertools.chain(alone, runs - cache.keys(), {""} - cache.keys()):
+        for chunk in itertools.chain(alone, self._missing(runs), self._missing([""])):
             cache[chunk] = self._library(chunk)
-        self._learn_words(list(words - cache.keys()))
+        self._learn_words(self._missing(words))
         for chunk, lead, low, end in parts:
             cache[chunk] = cache[lead] + cache[low] + cache[end]
 
@@ -116,17 +140,20 @@ class ChunkEncoder:
         return out
 
     def _encode_held(self, texts: pa.Array) -> list[bytes]:
-        # only ASCII is lowered ahead of the tokenizer; what it takes for white space parts other chunks inside
-        texts = pc.if_else(pc.string_is_ascii(texts), pc.ascii_lower(texts), texts)
+        # only ASCII is lowered ahead of the tokenizer, and no text that then holds an added token, which the
+        # library matches in its own case; what it takes for white space parts other chunks inside
+        low = pc.ascii_lower(texts)
+        plain = pc.string_is_ascii(texts)
+        for added in self._specials:
+            plain = pc.and_not(plain, pc.match_substring(low, added, ignore_case=True))
+        texts = pc.if_else(plain, low, texts)
         odd = pc.match_substring_regex(texts, f"[{SEPARATORS}]")  # white space for Arrow, none for the tokenizer
         parted = pc.utf8_split_whitespace(pc.if_else(odd, "", texts))
         coded = parted.flatten().dictionary_encode()
-        chunks = coded.dictionary.to_pylist()
-        fresh = set(chunks) - self._cache.keys()
-        if len(self._cache) + len(fresh) > self._entries:
-            self._cache.clear()
-            fresh = set(chunks)
-        self._learn(fresh)
+        chunks = _strings(coded.dictionary)
+        if len(self._cache) > self._entries // 2:
+            self._old, self._cache = self._cache, {}
+        self._learn(self._missing(chunks))
         values = list(map(self._cache.__getitem__, chunks))
         flat = np.frombuffer(b"".join(values), self._dtype)
         sizes = np.array(list(map(len, values)), np.int64) // self._dtype.itemsize

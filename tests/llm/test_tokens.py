@@ -30,6 +30,24 @@ def test_chunks_equal_whole_texts():
     assert [np.frombuffer(x, "<u2").tolist() for x in got] == [whole(t) for t in [*odd, None]]
 
 
+def test_added_tokens_in_any_case():
+    r = random.Random(2)
+    added = ["<|endoftext|>", "<|startoftext|>"]
+    mixed = lambda s: "".join(c.upper() if r.random() < 0.3 else c for c in s)
+    texts = ["<|ENDOFTEXT|> hi", "A<|endoftext|>B <|EndOfText|>"]
+    texts += [" ".join(r.choice(["Hi", "é", "x.Y", mixed(r.choice(added)), r.choice(added) + "z", "Q" + mixed(r.choice(added))]) for _ in range(r.randint(1, 8))) for _ in range(1000)]
+    got = ChunkEncoder(tokenizer_path(), 2).encode_all(pa.array(texts))
+    assert [np.frombuffer(x, "<u2").tolist() for x in got] == [whole(t) for t in texts]
+
+
+def test_full_caches_change_nothing():
+    r = random.Random(3)
+    texts = [" ".join("".join(r.choice("abcdé,.'") for _ in range(r.randint(1, 4))) for _ in range(50)) for _ in range(60)]
+    encoder = ChunkEncoder(tokenizer_path(), 2, entries=20)
+    got = [encoder.encode_all(pa.array([t]))[0] for t in texts]
+    assert [np.frombuffer(x, "<u2").tolist() for x in got] == [whole(t) for t in texts]
+
+
 @pytest.mark.parametrize("planes", ["bit", "byte"])
 @pytest.mark.parametrize("width", [2, 4])
 def test_planes_round_trip(planes, width):
