@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandwise.llm.components import connected_components
-from strandwise.llm.storage import write_table
+from strandwise.llm.storage import drop_table, write_table
 from strandwise.llm.tokenize import bounded_batches
 
 SEED = 42
@@ -254,10 +254,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, shingle: int = 5, bits
 # ---- a stated similarity ---------------------------------------------------------------------------------------
 
 WIDE_WORDS = 4
-#: Texts whose shingles are counted for the order of shingles, and the most shingles whose count is kept.
-SAMPLE_TEXTS, SAMPLE_SHINGLES = 10_000, 50_000
+#: Counters of the sketch that orders shingles by their frequency, and counters in a row of it.
+COUNTERS, COUNTER_BLOCK = 1 << 21, 1 << 16
 #: Pairs held before they are passed on.
 HELD_PAIRS = 1 << 20
+#: Rows before it at an anchor that a row is compared with when only the nearest is wanted.
+NEIGHBOURS = 512
 
 
 def shingle_set(text: str | None, shingle: int) -> np.ndarray:
@@ -270,14 +272,27 @@ def shingle_set(text: str | None, shingle: int) -> np.ndarray:
     return np.unique(np.fromiter((digest(flat[a : b - 1], SEED) for a, b in zip(at, ends)), np.uint64, len(ends)))
 
 
-def parities(hashes: np.ndarray) -> np.ndarray:
-    """256 bits, as four words: the parity of the number of hashes in each of 256 buckets.
+def parities(hashes: np.ndarray, bits: int) -> np.ndarray:
+    """``bits`` (a power of two) bits, packed: the parity of the number of hashes in each of as many buckets.
 
     A hash that one of two sets lacks flips one bit, so two sets differ in at
-    least as many hashes as their parities differ in bits.
+    least as many hashes as their parities differ in bits.  A parity of more
+    bits gives one of fewer by :func:`folded`.
     """
-    odd = np.bincount((hashes >> np.uint64(56)).astype(np.int64), minlength=64 * WIDE_WORDS) & 1
-    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<u8")
+    buckets = (hashes & np.uint64(bits - 1)).astype(np.int64)
+    return np.packbits((np.bincount(buckets, minlength=bits) & 1).astype(np.uint8), bitorder="little")
+
+
+def folded(packed: np.ndarray, octets: int) -> np.ndarray:
+    """A packed parity as one of fewer octets."""
+    while len(packed) > octets:
+        packed = packed[: len(packed) // 2] ^ packed[len(packed) // 2 :]
+    return packed
+
+
+def parity_bits(size: int) -> int:
+    """Bits of the parity of a set: four a hash or more, so that it tells sets of any size apart."""
+    return max(64 * WIDE_WORDS, 1 << (4 * size - 1).bit_length())
 
 
 def least_common(both: np.ndarray, similarity: float) -> np.ndarray:
@@ -285,34 +300,45 @@ def least_common(both: np.ndarray, similarity: float) -> np.ndarray:
     return np.ceil(both * (similarity / (1 + similarity)) - 1e-9).astype(np.int64)
 
 
-def prefix_of(hashes: np.ndarray, often: tuple[np.ndarray, np.ndarray], similarity: float) -> np.ndarray:
-    """The first hashes by (count in the sample, hash): two sets that similar share one of these.
+def counter_of(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(64 - COUNTERS.bit_length() + 1)).astype(np.int64)
+
+
+def prefix_of(hashes: np.ndarray, rarity: np.ndarray, similarity: float) -> np.ndarray:
+    """The first hashes by (frequency class of their counter, hash): two sets that similar share one of these.
 
     Any order of all hashes is right; one that begins with rare hashes gives few chance meetings.
     """
-    known, counts = often
-    rank = np.zeros(len(hashes), np.int64)
-    if len(known):
-        at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
-        rank = np.where(known[at] == hashes, counts[at], 0)
     n = len(hashes)
-    return hashes[np.lexsort((hashes, rank))][: n - math.ceil(similarity * n - 1e-9) + 1]
+    return hashes[np.lexsort((hashes, rarity[counter_of(hashes)]))][: n - math.ceil(similarity * n - 1e-9) + 1]
 
 
-def _often(spark: SparkSession, docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes, in order, of shingles frequent in a sample of the texts, and their counts; bounded whatever the input."""
-    every = max(1, docs.count() // SAMPLE_TEXTS)
+def frequency_classes(spark: SparkSession, sets: DataFrame) -> np.ndarray:
+    """A class for each counter of a sketch of all ``sets(hashes)``, higher for more frequent hashes.
 
-    def run(batches):
+    Every hash of every set is counted; counters of all tasks are summed block
+    by block, and the driver gets two bytes a counter whatever the input.
+    """
+
+    def count(batches):
+        total = np.zeros(COUNTERS, np.int64)
+        for batch in batches:
+            total += np.bincount(counter_of(batch.column(0).flatten().to_numpy().view(np.uint64)), minlength=COUNTERS)
+        counts = pa.array(total)
+        blocks = np.arange(0, COUNTERS + 1, COUNTER_BLOCK, dtype=np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(blocks) - 1)), pa.ListArray.from_arrays(pa.array(blocks), counts)], ["block", "counts"])
+
+    def merge(batches):
+        sums: dict[int, np.ndarray] = {}
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(text, shingle).view(np.int64))], ["h"])
+            for block, counts in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                sums[block] = sums.get(block, 0) + counts.values.to_numpy()
+        classes = [np.round(1024 * np.log2(1.0 + x)).astype("<u2").tobytes() for x in sums.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array(classes, pa.binary())], ["block", "classes"])
 
-    some = docs.select("text").where(F.pmod(F.xxhash64("text"), F.lit(every)) == 0).mapInArrow(run, "h bigint")
-    counts = some.groupBy("h").agg(F.count("*").alias("n")).where("n > 2").orderBy(F.desc("n"), "h").limit(SAMPLE_SHINGLES).toArrow()
-    known = counts.column("h").to_numpy().view(np.uint64)
-    order = np.argsort(known)
-    return known[order], counts.column("n").to_numpy()[order]
+    partial = sets.select("hashes").mapInArrow(count, "block bigint, counts array<bigint>")
+    found = partial.repartition(COUNTERS // COUNTER_BLOCK, "block").mapInArrow(merge, "block bigint, classes binary").collect()
+    return np.frombuffer(b"".join(bytes(r.classes) for r in sorted(found)), "<u2") if found else np.zeros(COUNTERS, "<u2")
 
 
 class _Group:
@@ -335,58 +361,64 @@ class _Group:
         left = np.minimum(self.sizes[i] - self.places[i], self.sizes[j] - self.places[j])
         return (left >= least) & (bits <= both - 2 * least) & (self.roots[i] != self.roots[j]), bits
 
-    def candidates(self):
-        """``i, j, bits`` of every possible pair, ``i`` before ``j``."""
-        starts = np.flatnonzero(np.concatenate([[True], self.keys[1:] != self.keys[:-1]]))
-        counts = np.diff(np.concatenate([starts, [len(self.keys)]]))
-        small = 16
-        few = np.repeat(counts <= small, counts)
-        for shift in range(1, small):
-            i = np.flatnonzero((self.keys[shift:] == self.keys[:-shift]) & few[shift:])
+    def shifted(self, most: int):
+        """``i, j, bits`` of every possible pair of rows at most ``most`` apart."""
+        for shift in range(1, most + 1):
+            i = np.flatnonzero(self.keys[shift:] == self.keys[:-shift])
             if not len(i):
-                break
+                return
             ok, bits = self.possible(i, i + shift)
             yield i[ok], i[ok] + shift, bits[ok]
-        for s, n in zip(starts[counts > small].tolist(), counts[counts > small].tolist(), strict=True):
-            if (self.roots[s : s + n] == self.roots[s]).all():
-                continue
-            ends = s + np.searchsorted(self.sizes[s : s + n], self.sizes[s : s + n] / self.similarity + 1e-6, side="right")
-            for a in range(s, s + n - 1):
-                j = np.arange(a + 1, ends[a - s])
+
+    def runs(self) -> list[tuple[int, int]]:
+        """First row and number of rows of each anchor."""
+        starts = np.flatnonzero(np.concatenate([[True], self.keys[1:] != self.keys[:-1]]))
+        return list(zip(starts.tolist(), np.diff(np.concatenate([starts, [len(self.keys)]])).tolist(), strict=True))
+
+    def apart(self):
+        """``i, j`` of every possible pair with different roots."""
+        for s, n in self.runs():
+            order = s + np.argsort(self.roots[s : s + n], kind="stable")
+            roots = self.roots[order]
+            for a in range(n - 1):
+                # rows of the same root are neighbours here, so none of them is looked at
+                j = order[np.searchsorted(roots, roots[a], side="right") :]
                 if len(j):
-                    ok, bits = self.possible(np.full(len(j), a), j)
-                    j = j[ok]
-                    yield np.full(len(j), a), j, bits[ok]
+                    i = np.full(len(j), order[a])
+                    ok, _ = self.possible(i, j)
+                    yield i[ok], j[ok]
 
     def pairs(self, i, j) -> list[np.ndarray]:
         return [np.minimum(self.nodes[i], self.nodes[j]), np.maximum(self.nodes[i], self.nodes[j])]
 
     def nearest(self):
-        """``anchor, a, b`` of each row and the nearest possible one before it, and the anchors where a row had others.
+        """``anchor, a, b`` of each row and the nearest possible one of those just before it, and the anchors where more may be.
 
         The former have no anchor, the latter no pair.
         """
         best = np.full(len(self.keys), np.iinfo(np.int64).max)
         more = np.zeros(len(self.keys), bool)
         partner = np.full(len(self.keys), -1)
-        for i, j, bits in self.candidates():  # no j twice in one yield
+        for i, j, bits in self.shifted(NEIGHBOURS):  # no j twice in one yield
             more[j[partner[j] >= 0]] = True
             nearer = bits < best[j]
             best[j[nearer]], partner[j[nearer]] = bits[nearer], i[nearer]
         j = np.flatnonzero(partner >= 0)
         yield [pa.nulls(len(j), pa.int64()), *map(pa.array, self.pairs(partner[j], j))]
-        anchors = np.unique(self.keys[more])
+        crowded = np.zeros(len(self.keys), bool)
+        crowded[NEIGHBOURS + 1 :] = self.keys[NEIGHBOURS + 1 :] == self.keys[: -NEIGHBOURS - 1]
+        anchors = np.unique(self.keys[more | crowded])
         yield [pa.array(anchors), pa.nulls(len(anchors), pa.int64()), pa.nulls(len(anchors), pa.int64())]
 
     def rest(self):
-        """``anchor, a, b`` of every possible pair, without the anchor."""
+        """``anchor, a, b`` of every possible pair that is still apart, without the anchor."""
         held_i, held_j, n = [], [], 0
 
         def flush():
             pairs = np.unique(np.stack(self.pairs(np.concatenate(held_i), np.concatenate(held_j)), 1), axis=0)
             return [pa.nulls(len(pairs), pa.int64()), pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())]
 
-        for i, j, _ in self.candidates():
+        for i, j in self.apart():
             held_i.append(i)
             held_j.append(j)
             n += len(i)
@@ -397,26 +429,92 @@ class _Group:
             yield flush()
 
 
-def _shingle_sets(spark: SparkSession, docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
-    """``(node, hashes)``: the hashed shingles of one text for each of ``wanted(key, node)``."""
+def _in_runs(found: Callable) -> Callable:
+    """A function of batches sorted by their first column that hands ``found`` whole runs of it, as arrays."""
+
+    def run(batches):
+        held: list[np.ndarray] | None = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            cols = [c.to_numpy() for c in batch.columns]
+            held = cols if held is None else [np.concatenate(x) for x in zip(held, cols, strict=True)]
+            end = int(np.searchsorted(held[0], held[0][-1]))
+            if end:
+                yield from found([c[:end] for c in held])
+                held = [c[end:] for c in held]
+        if held is not None:
+            yield from found(held)
+
+    return run
+
+
+def _shared_anchors(spark: SparkSession, prefixes: DataFrame) -> DataFrame:
+    """``(anchor, node, size, place)`` of ``prefixes(prefix, node, size)`` where an anchor has two nodes or more."""
+    columns, schema = ["anchor", "node", "size", "place"], "anchor bigint, node bigint, size int, place int"
+
+    def replicate(batches):
+        for batch in batches:
+            for i in range(0, batch.num_rows, 1000):
+                prefix, node, size = batch.slice(i, 1000).columns
+                counts = prefix.value_lengths().to_numpy()
+                again = np.repeat(np.arange(len(counts)), counts)
+                place = np.arange(len(again)) - np.repeat(np.cumsum(counts) - counts, counts)
+                yield pa.RecordBatch.from_arrays([prefix.flatten(), node.take(pa.array(again)), size.take(pa.array(again)), pa.array(place.astype(np.int32))], columns)
+
+    def shared(batches):
+        last: pa.RecordBatch | None = None  # a row that waits for the next one's anchor
+        taken = None  # the anchor of the row before it
+        for batch in batches:
+            if last is not None:
+                batch = pa.concat_batches([last, batch])
+            if not batch.num_rows:
+                continue
+            keys = batch.column(0).to_numpy()
+            same = keys[1:] == keys[:-1]
+            keep = np.concatenate([[keys[0] == taken], same])
+            keep[:-1] |= same
+            last, taken = batch.slice(batch.num_rows - 1), keys[-2] if len(keys) > 1 else taken
+            keep[-1] = False
+            yield batch.filter(pa.array(keep))
+        if last is not None and taken == last.column(0)[0].as_py():
+            yield last
+
+    at = prefixes.select("prefix", "node", "size").mapInArrow(replicate, schema)
+    return write_table(spark, at.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(shared, schema), "shared-anchors")
+
+
+def _possible(pairs: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
+    """The ``pairs(a, b)`` that parities in proportion to their sets do not rule out."""
+
+    def side(c: str, s: str) -> DataFrame:
+        return sketches.select(F.col("node").alias(c), F.col("size").alias(f"n{s}"), F.col("parity").alias(f"p{s}"))
 
     def run(batches):
         for batch in batches:
-            out = [shingle_set(text, shingle).view(np.int64) for text in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int64()))], ["node", "hashes"])
+            both = batch.column(2).to_numpy().astype(np.int64) + batch.column(3).to_numpy()
+            most = both - 2 * least_common(both, similarity)
+            bits = []
+            for x, y in zip(batch.column(4), batch.column(5), strict=True):
+                x, y = np.frombuffer(x.as_buffer(), np.uint8), np.frombuffer(y.as_buffer(), np.uint8)
+                octets = min(len(x), len(y))
+                bits.append(int(np.bitwise_count(folded(x, octets) ^ folded(y, octets)).sum()))
+            yield batch.select([0, 1]).filter(pa.array(np.array(bits, np.int64) <= most))
 
-    texts = docs.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("key"), F.coalesce("text", F.lit("")).alias("text")).join(wanted, "key").dropDuplicates(["node"])
-    return texts.select("node", "text").mapInArrow(run, "node bigint, hashes array<bigint>")
+    return pairs.join(side("a", "a"), "a").join(side("b", "b"), "b").select("a", "b", "na", "nb", "pa", "pb").mapInArrow(run, "a bigint, b bigint")
 
 
-def _alike(spark: SparkSession, docs: DataFrame, rows: DataFrame, pairs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+def _alike(spark: SparkSession, sets: DataFrame, pairs: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
     """The ``pairs(a, b)`` whose sets of shingles are that similar."""
-    ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = write_table(spark, rows.join(ends, "node", "left_semi").groupBy("node").agg(F.min("key").alias("key")), "wanted-texts")
-    sets = write_table(spark, _shingle_sets(spark, docs, wanted, shingle), "shingle-sets")
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("ha")), "a").join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("hb")), "b")
+    pairs = write_table(spark, _possible(pairs, sketches, similarity), "possible-pairs")
+    ends = write_table(spark, pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct(), "wanted-sets")
+    wanted = write_table(spark, sets.join(ends, "node", "left_semi").select("node", "hashes").dropDuplicates(["node"]), "wanted-sets")
+    both = pairs.join(wanted.select(F.col("node").alias("a"), F.col("hashes").alias("ha")), "a").join(wanted.select(F.col("node").alias("b"), F.col("hashes").alias("hb")), "b")
     common = F.size(F.array_intersect("ha", "hb"))
-    return write_table(spark, both.where(common >= similarity * (F.size("ha") + F.size("hb") - common)).select("a", "b"), "alike")
+    found = write_table(spark, both.where(common + 1e-9 >= similarity * (F.size("ha") + F.size("hb") - common)).select("a", "b"), "alike")
+    for table in (pairs, ends, wanted):
+        drop_table(spark, table)
+    return found
 
 
 def similar_groups(spark: SparkSession, docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -430,79 +528,62 @@ def similar_groups(spark: SparkSession, docs: DataFrame, shingle: int = 5, simil
     that similar.  The sets themselves decide candidates: first the nearest one
     of each row at each hash, which settles dense groups with few pairs, and
     then every candidate whose ends are still apart.  ``key`` is a hash of the
-    text.  Blank texts are one group; repeated rows share a group.
+    text.  Blank texts are one group; repeated rows share a group; a null
+    ``doc_id`` is a value like any other; a text of any length is one row; an
+    empty table gives no rows; other columns are ignored.
     """
     names = [f"w{k}" for k in range(WIDE_WORDS)]
     bounded_batches(spark)
-    often = _often(spark, docs, shingle)
 
-    def prints(batches):
+    def hashed(batches):
         for batch in batches:
-            sets = [shingle_set(t, shingle) for t in batch.column(2).to_pylist()]
-            wide = np.array([parities(h) for h in sets], np.uint64).reshape(-1, WIDE_WORDS)
-            nodes = np.array([xxhash.xxh64_intdigest(h.tobytes(), SEED) for h in sets], np.uint64).view(np.int64)
-            prefix = pa.array([prefix_of(h, often, similarity).view(np.int64) for h in sets], pa.list_(pa.int64()))
-            cols = [pa.array(nodes), pa.array([len(h) for h in sets], pa.int64()), *(pa.array(wide[:, k].copy().view(np.int64)) for k in range(WIDE_WORDS)), prefix]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *cols], ["doc_id", "key", "node", "size", *names, "prefix"])
+            found = [shingle_set(t, shingle) for t in batch.column(2).to_pylist()]
+            nodes = np.array([xxhash.xxh64_intdigest(h.tobytes(), SEED) for h in found], np.uint64).view(np.int64)
+            ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
+            flat = pa.array(np.concatenate([np.zeros(0, np.uint64), *found]).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(nodes), pa.ListArray.from_arrays(pa.array(ends), flat)], ["doc_id", "key", "node", "hashes"])
 
     own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("key"), "text")
-    schema = f"doc_id bigint, key bigint, node bigint, size bigint, {', '.join(f'{w} bigint' for w in names)}, prefix array<bigint>"
-    rows = write_table(spark, own.mapInArrow(prints, schema), "prefixes")
-    columns = ["anchor", "node", "size", "place", "root", *names]
+    sets = write_table(spark, own.mapInArrow(hashed, "doc_id bigint, key bigint, node bigint, hashes array<bigint>"), "shingle-sets")
+    rarity = frequency_classes(spark, sets)
 
-    def replicate(batches):
+    def prints(batches):
         for batch in batches:
-            for i in range(0, batch.num_rows, 200):
-                part = batch.slice(i, 200)
-                prefix = part.column(0)
-                counts = prefix.value_lengths().to_numpy()
-                again = np.repeat(np.arange(len(counts)), counts)
-                place = np.arange(len(again)) - np.repeat(np.cumsum(counts) - counts, counts)
-                node, size, root, *wide = (c.take(pa.array(again)) for c in part.columns[1:])
-                yield pa.RecordBatch.from_arrays([prefix.flatten(), node, size, pa.array(place), root, *wide], columns)
-
-    def compared(found):
-        def run(batches):
-            held: list[np.ndarray] | None = None
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                cols = [c.to_numpy() for c in batch.columns]
-                held = cols if held is None else [np.concatenate(x) for x in zip(held, cols, strict=True)]
-                end = int(np.searchsorted(held[0], held[0][-1]))
-                if end:
-                    yield from found(_Group([c[:end] for c in held], similarity))
-                    held = [c[end:] for c in held]
-            if held is not None:
-                yield from found(_Group(held, similarity))
-
-        return run
-
-    def batches_of(take):
-        return compared(lambda group: (pa.RecordBatch.from_arrays(cols, ["anchor", "a", "b"]) for cols in take(group)))
-
-    def exploded(nodes):
-        return nodes.select("prefix", "node", "size", "root", *names).mapInArrow(replicate, ", ".join(f"{c} bigint" for c in columns))
+            found = [h.values.to_numpy().view(np.uint64) for h in batch.column(1)]
+            packed = [parities(h, parity_bits(len(h))) for h in found]
+            wide = np.array([folded(p, 8 * WIDE_WORDS) for p in packed], np.uint8).reshape(-1, 8 * WIDE_WORDS).view("<i8")
+            prefix = pa.array([prefix_of(h, rarity, similarity).view(np.int64) for h in found], pa.list_(pa.int64()))
+            cols = [pa.array([len(h) for h in found], pa.int32()), pa.array([p.tobytes() for p in packed], pa.binary()), prefix, *(pa.array(wide[:, k].copy()) for k in range(WIDE_WORDS))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *cols], ["node", "size", "parity", "prefix", *names])
+
+    schema = f"node bigint, size int, parity binary, prefix array<bigint>, {', '.join(f'{w} bigint' for w in names)}"
+    distinct = write_table(spark, sets.select("node", "hashes").mapInArrow(prints, schema).dropDuplicates(["node"]), "sketches")
+    shared = _shared_anchors(spark, distinct)
 
     def met(at, take):
-        at = at.repartition("anchor").sortWithinPartitions("anchor", "size", "node")
-        return at.mapInArrow(batches_of(take), "anchor bigint, a bigint, b bigint").distinct()
+        at = at.select("anchor", "node", "size", "place", "root", *names).repartition("anchor").sortWithinPartitions("anchor", "size", "node")
+        batches = _in_runs(lambda cols: (pa.RecordBatch.from_arrays(x, ["anchor", "a", "b"]) for x in take(_Group(cols, similarity))))
+        return at.mapInArrow(batches, "anchor bigint, a bigint, b bigint").distinct()
 
-    distinct = rows.dropDuplicates(["node"])
-    found = write_table(spark, met(exploded(distinct.withColumn("root", F.col("node"))), _Group.nearest), "near-pairs")
+    wide = distinct.select("node", *names)
+    found = write_table(spark, met(shared.join(wide, "node").withColumn("root", F.col("node")), _Group.nearest), "near-pairs")
     first = found.where("a is not null").select("a", "b")
-    linked = connected_components(spark, _alike(spark, docs, rows, first, shingle, similarity))
+    linked = connected_components(spark, _alike(spark, sets, first, distinct, similarity))
 
     # what was not offered and is still apart; anchors where each row had one candidate are done
-    crowded = write_table(spark, found.where("anchor is not null").select("anchor").distinct(), "crowded-anchors")
-    again = exploded(distinct.join(linked, "node", "left").withColumn("root", F.coalesce("root", "node"))).join(crowded, "anchor", "left_semi").select(*columns)
+    crowded = found.where("anchor is not null").select("anchor").distinct()
+    again = shared.join(crowded, "anchor", "left_semi").join(wide, "node").join(linked, "node", "left").withColumn("root", F.coalesce("root", "node"))
     second = write_table(spark, met(again, _Group.rest).select("a", "b").join(first, ["a", "b"], "left_anti"), "other-pairs")
-    alike = _alike(spark, docs, rows, second, shingle, similarity)
+    drop_table(spark, shared)
+    alike = _alike(spark, sets, second, distinct, similarity)
     root = lambda c, r: linked.select(F.col("node").alias(c), F.col("root").alias(r))
     apart = alike.join(root("a", "ra"), "a", "left").join(root("b", "rb"), "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
     more = connected_components(spark, apart)
-    own_root = rows.join(linked, "node", "left").select("doc_id", "key", F.coalesce("root", "node").alias("node"))
-    return own_root.join(more, "node", "left").select("doc_id", "key", F.coalesce("root", "node").alias("node"))
+    own_root = sets.select("doc_id", "key", "node").join(linked, "node", "left").select("doc_id", "key", F.coalesce("root", "node").alias("node"))
+    groups = write_table(spark, own_root.join(more, "node", "left").select("doc_id", "key", F.coalesce("root", "node").alias("node")), "groups")
+    for table in (sets, distinct, found, second, alike):
+        drop_table(spark, table)
+    return groups
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:

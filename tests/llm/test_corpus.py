@@ -155,7 +155,7 @@ def test_similar_groups_find_every_contiguous_edit(spark):
 
 
 def test_similar_groups_drop_no_candidate_of_a_crowd(spark, monkeypatch):
-    monkeypatch.setattr(op5_simhash, "SAMPLE_SHINGLES", 0)  # in order of hash, which refuses few pairs early
+    monkeypatch.setattr(op5_simhash, "frequency_classes", lambda *_: np.zeros(op5_simhash.COUNTERS))  # in order of hash, which refuses few pairs early
     rows = []
     for g in range(20):  # one text at 0.804 among eleven at 0.798, which are nothing to each other
         body = prose(5000 + g, 300).split()
@@ -170,6 +170,77 @@ def test_similar_groups_drop_no_candidate_of_a_crowd(spark, monkeypatch):
 # ---- sharding ----
 
 
+def plain_links(texts, shingle=5, similarity=0.8):
+    """All pairs of texts that similar, by counting common shingles through an index of the less frequent ones."""
+    sets = [op5_simhash.shingle_set(t, shingle).tolist() for t in texts]
+    holders = collections.defaultdict(list)
+    for i, hashes in enumerate(sets):
+        for h in hashes:
+            holders[h].append(i)
+    common = collections.Counter(pair for rows in holders.values() for k, j in enumerate(rows) for pair in ((i, j) for i in rows[:k]))
+    return [(i, j) for (i, j), n in common.items() if n + 1e-9 >= similarity * (len(sets[i]) + len(sets[j]) - n)]
+
+
+def test_similar_groups_of_all_documents_equal_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    rows = docs.collect()
+    root = roots_of(len(rows), plain_links([r.text for r in rows]))
+    got = {r.doc_id: r.node for r in op5_simhash.similar_groups(spark, docs).collect()}
+    by_root, by_node = collections.defaultdict(set), collections.defaultdict(set)
+    for r, k in zip(rows, root, strict=True):
+        by_root[k].add(r.doc_id)
+        by_node[got[r.doc_id]].add(r.doc_id)
+    assert sorted(map(sorted, by_root.values())) == sorted(map(sorted, by_node.values()))
+
+
+def test_similar_groups_of_one_dense_cluster(spark):
+    """5,000 edits of one text: most pairs are below the similarity, chains of those above it join many."""
+    r = random.Random(11)
+    body = prose(50, 60).split()
+    texts = []
+    for _ in range(5000):
+        words = list(body)
+        for _ in range(r.randint(1, 2)):
+            words[r.randrange(60)] = f"e{r.randrange(10**6)}"
+        texts.append(" ".join(words))
+    sets = [set(op5_simhash.shingle_set(t, 5).tolist()) for t in texts]
+    often = collections.Counter(h for s in sets for h in s)
+    code = {h: k for k, h in enumerate(h for h, n in often.items() if n > 1)}
+    bits = np.zeros((5000, len(code)), np.float32)
+    for i, s in enumerate(sets):
+        bits[i, [code[h] for h in s if h in code]] = 1
+    sizes = np.array(list(map(len, sets)))
+    links = []
+    for a in range(0, 5000, 500):
+        common = bits[a : a + 500] @ bits.T
+        i, j = np.nonzero(common + 1e-6 >= 0.8 * (sizes[a : a + 500, None] + sizes[None, :] - common))
+        links += zip((i + a).tolist(), j.tolist(), strict=True)
+    root = roots_of(5000, links)
+    got = {r.doc_id: r.node for r in op5_simhash.similar_groups(spark, table(spark, [(i, t, "en", "s0", 0) for i, t in enumerate(texts)])).collect()}
+    assert len(set(got.values())) == len(set(root)) and len(set(zip(root, map(got.get, range(5000)), strict=True))) == len(set(root))
+
+
+def test_frequency_classes_cover_all_sets(spark):
+    r = np.random.default_rng(4)
+    hashes = [r.integers(0, 2**64, int(n), dtype=np.uint64).view(np.int64).tolist() for n in r.integers(0, 60, 80)] * 2
+    sets = spark.createDataFrame([(h,) for h in hashes], "hashes array<bigint>").repartition(5)
+    flat = np.array([x for h in hashes for x in h], np.int64).view(np.uint64)
+    want = np.round(1024 * np.log2(1.0 + np.bincount((flat >> np.uint64(43)).astype(int), minlength=1 << 21)))
+    assert np.array_equal(op5_simhash.frequency_classes(spark, sets), want)
+
+
+def test_parities_are_a_lower_bound_at_any_size():
+    r = np.random.default_rng(8)
+    for n in (1, 30, 400, 5000):
+        a = np.unique(r.integers(0, 2**64, n, dtype=np.uint64))
+        b = np.unique(np.concatenate([a[n // 5 :], r.integers(0, 2**64, n // 3, dtype=np.uint64)]))
+        p, q = (op5_simhash.parities(x, op5_simhash.parity_bits(len(x))) for x in (a, b))
+        for octets in (min(len(p), len(q)), 32):
+            bits = int(np.bitwise_count(op5_simhash.folded(p, octets) ^ op5_simhash.folded(q, octets)).sum())
+            assert bits <= len(np.setxor1d(a, b))
+        assert np.array_equal(op5_simhash.folded(p, 32), op5_simhash.parities(a, 256))
+
+
 def check_shards(rows, n, slack=0.0):
     by = collections.defaultdict(list)
     for r in rows:
