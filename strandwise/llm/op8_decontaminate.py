@@ -4,7 +4,10 @@ A window of an item is the set of its 3-word shingles.  A document holds the
 window only if it holds all of them, so the join needs one shingle a window,
 the rarest over all documents (the prefix of a containment of 1).  Candidates
 pass a positional bound (the window starts in the document) and a length bound
-(it ends there), and then all words of the window are compared.
+(it ends there), and then all words of the window are compared.  A Bloom filter
+of the benchmark's shingles thins those of the documents before they become
+rows; of what passes only hash and place are kept, and the words of documents
+with candidates are fetched when they are compared.
 """
 
 from __future__ import annotations
@@ -23,8 +26,8 @@ WINDOW = 10
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 SHINGLE = 3
-#: Benchmark shingles up to this number are a literal set that thins document shingles before they become rows.
-LITERAL_SHINGLES = 20_000
+#: Bits of the filter for each benchmark shingle, and the least and the most bits of it (2 MB).
+BITS_EACH, LEAST_BITS, MOST_BITS = 16, 1 << 14, 1 << 24
 
 
 def words_of(text: Column) -> Column:
@@ -74,28 +77,52 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumns({"key": F.coalesce(doc_id, F.lit(0)), "key2": F.xxhash64(F.coalesce("text", F.lit("")), doc_id.isNull())})
 
 
+def _places(h: Column, bits: int) -> list[Column]:
+    """The two bits of the filter that a hash sets: its low and its high half."""
+    return [h.bitwiseAND(F.lit(bits - 1)), F.call_function("shiftright", h, F.lit(32)).bitwiseAND(F.lit(bits - 1))]
+
+
+def shingle_filter(grams: DataFrame) -> Callable[[Column], Column]:
+    """A test of hashes that every one of ``grams(h)`` passes, and others seldom.
+
+    The bits grow with the number of hashes up to a bound; beyond it more of
+    the others pass, which costs room and changes no result.
+    """
+    own = grams.select("h").distinct()
+    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (BITS_EACH * max(1, own.count()) - 1).bit_length()))
+    set_bits = own.select(F.explode(F.array(*_places(F.col("h"), bits))).alias("p"))
+    word, one = F.call_function("shiftright", "p", F.lit(6)), F.lit(1).cast("bigint")
+    rows = set_bits.groupBy(word.alias("at")).agg(F.bit_or(F.call_function("shiftleft", one, F.col("p").bitwiseAND(F.lit(63)).cast("int"))).alias("v")).collect()
+    words = ["0"] * (bits // 64)
+    for r in rows:
+        words[r["at"]] = str(r.v)
+    table = F.split(F.lit(",".join(words)), ",").cast("array<bigint>")  # one literal once the planner has folded it
+
+    def passes(h: Column) -> Column:
+        tests = [F.call_function("getbit", F.get(table, F.call_function("shiftright", p, F.lit(6)).cast("int")), p.bitwiseAND(F.lit(63)).cast("int")) == 1 for p in _places(h, bits)]
+        return tests[0] & tests[1]
+
+    return passes
+
+
 def _hits(spark: SparkSession, docs: DataFrame, bench: DataFrame, window: int) -> tuple[DataFrame, DataFrame]:
     """``(doc_id, key, key2, n_words)`` of all rows, and :func:`_verified` of those with a window."""
     windows = write_table(spark, item_windows(bench, window), "windows")
-    ks = [r.k for r in windows.select("k").distinct().collect()]
+    ks = [r.k for r in windows.select("k").distinct().collect()]  # at most SHINGLE of them
     w = F.col("words")
     base = _keyed(docs.select("doc_id", "text")).select(F.col("doc_id").cast("bigint").alias("doc_id"), "key", "key2", words_of(F.col("text")).alias("words"))
     found = F.array().cast("array<struct<i:int,h:bigint>>")
     if ks:
         grams = write_table(spark, _window_shingles(windows, ks), "window-shingles")
-        most = grams.select("h").distinct().limit(LITERAL_SHINGLES + 1).collect()
+        passes = shingle_filter(grams)
         for k in ks:
-            at = _hashes(w, k)  # a short one at the end cannot pass the comparison of words
-            if len(most) <= LITERAL_SHINGLES:
-                at = F.filter(at, lambda x: x["h"].isin([r.h for r in most]))
+            at = F.filter(_hashes(w, k), lambda x: passes(x["h"]))  # a short one at the end cannot pass the comparison of words
             found = at if k == ks[0] else F.concat(found, at)
-    back = max(0, window - 1)
-    hits = F.transform(found, lambda x: F.struct(x["i"].alias("i"), x["h"].alias("h"), F.slice(w, F.greatest(x["i"] - back, F.lit(0)) + 1, 2 * window).alias("near")))
-    rows = write_table(spark, base.select("doc_id", "key", "key2", F.size(w).alias("n_words"), hits.alias("hits")), "document-shingles")
+    rows = write_table(spark, base.select("doc_id", "key", "key2", F.size(w).alias("n_words"), found.alias("hits")), "document-shingles")
     bare = rows.select("doc_id", "key", "key2", "n_words")
     if not ks:
         return bare, bare.where("false").select("key", "key2", F.lit(0).alias("n_hit"), F.lit(0).alias("n_items"), F.lit("").alias("items"))
-    return bare, _verified(spark, rows, grams, back)
+    return bare, _verified(spark, docs, rows, grams)
 
 
 def contamination(spark: SparkSession, docs: DataFrame, bench: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -128,26 +155,31 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, bench: DataFrame, wi
     return keyed.join(hit, (F.col("key") == F.col("_k")) & (F.col("key2") == F.col("_k2")), "left_anti").select("_row.*")
 
 
-def _verified(spark: SparkSession, rows: DataFrame, grams: DataFrame, back: int) -> DataFrame:
+def _verified(spark: SparkSession, docs: DataFrame, rows: DataFrame, grams: DataFrame) -> DataFrame:
     """``(key, key2, n_hit, n_items, items)`` of the documents with a window."""
-    cands = rows.select("key", "key2", "n_words", F.explode("hits").alias("c")).select("key", "key2", "n_words", "c.*")
+    cands = rows.select("key", "key2", "n_words", F.inline("hits").alias("i", "h"))
     often = cands.groupBy("h").agg(F.count("*").alias("df"))
     # a window whose rarest shingle is nowhere has no row here: the inner join would keep its other shingles, hence left
     rare = grams.join(often, "h", "left").groupBy("win").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "h", "o")).alias("first"), F.first("items").alias("items"))
     prefix = write_table(spark, rare.where("first.df > 0").select("win", "items", F.col("first.h").alias("h"), F.col("first.o").alias("o")), "prefixes")
     start = F.col("i") - F.col("o")
-    size = F.size("win")
-    same = F.slice("near", (start - F.greatest(F.col("i") - back, F.lit(0)) + 1).cast("int"), size) == F.col("win")
-    matched = cands.join(prefix, "h").where((start >= 0) & (start + size <= F.col("n_words"))).where(same)
-    spans = matched.groupBy("key", "key2").agg(F.array_sort(F.collect_set(F.struct(start.alias("p"), (start + size).alias("e")))).alias("spans"), F.collect_set("items").alias("items"))
+    bounded = cands.join(prefix, "h").where((start >= 0) & (start + F.size("win") <= F.col("n_words")))
+    offered = bounded.groupBy("key", "key2").agg(F.collect_set(F.struct(start.alias("p"), "win", "items")).alias("offers"))
+    offered = write_table(spark, offered, "candidates")
+    texts = _keyed(docs.select("doc_id", "text")).select("key", "key2", "text").join(offered, ["key", "key2"])
+    # the words are bound by a lambda of their own, so that they are cut once a text and not once an offer
+    same = F.transform(F.array(words_of(F.col("text"))), lambda w: F.filter("offers", lambda x: F.slice(w, (x["p"] + 1).cast("int"), F.size(x["win"])) == x["win"]))
+    found = texts.select("key", "key2", F.element_at(same, 1).alias("found")).where(F.size("found") > 0)
+    found = found.dropDuplicates(["key", "key2"])  # equal rows have equal windows
+    spans = F.array_sort(F.array_distinct(F.transform("found", lambda x: F.struct(x["p"].alias("p"), (x["p"] + F.size(x["win"])).alias("e")))))
     covered = F.aggregate(
-        "spans",
+        spans,
         F.struct(F.lit(0).alias("n"), F.lit(0).alias("to")),
         lambda a, s: F.struct((a["n"] + F.greatest(F.lit(0), s["e"] - F.greatest(s["p"], a["to"]))).alias("n"), F.greatest(a["to"], s["e"]).alias("to")),
         lambda a: a["n"],
     )
-    items = F.array_sort(F.array_distinct(F.flatten("items")))
-    return spans.select("key", "key2", covered.alias("n_hit"), F.size(items).alias("n_items"), F.concat_ws(",", items).alias("items"))
+    items = F.array_sort(F.array_distinct(F.flatten(F.transform("found", lambda x: x["items"]))))
+    return found.select("key", "key2", covered.alias("n_hit"), F.size(items).alias("n_items"), F.concat_ws(",", items).alias("items"))
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """Dedup, sharding, mixing, quality and decontamination against brute force."""
 
 import collections
+import hashlib
 import random
 import re
 import zlib
@@ -8,6 +9,7 @@ import zlib
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from helpers import awkward, empty, prose, table
 from strandwise.llm import op3_sharding, op5_simhash, op6_mixing, op7_quality, op8_decontaminate
@@ -394,12 +396,13 @@ def plain_hits(text, items):
             if tuple(words[i : i + size]) in windows:
                 hit |= set(range(i, i + size))
                 found.add("" if item is None else str(item))
-    return len(words), len(hit), len(found)
+    return len(words), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest()
 
 
-@pytest.mark.parametrize("literal", [20_000, 5])
-def test_contamination_equals_brute_force(spark, monkeypatch, literal):
-    monkeypatch.setattr(op8_decontaminate, "LITERAL_SHINGLES", literal)
+@pytest.mark.parametrize("most", [1 << 24, 64])
+def test_contamination_equals_brute_force(spark, monkeypatch, most):
+    monkeypatch.setattr(op8_decontaminate, "LEAST_BITS", min(most, op8_decontaminate.LEAST_BITS))
+    monkeypatch.setattr(op8_decontaminate, "MOST_BITS", most)  # a full filter passes nearly all
     items = [(i, prose(70 + i, 14)) for i in range(6)] + [(20, prose(70, 14)), (21, "Omega77 Only"), (22, "single99"), (23, "!!"), (24, None), (None, prose(90, 12)), (25, "xx yy zz " * 5)]
     rows = awkward()
     for i in range(6):
@@ -408,7 +411,7 @@ def test_contamination_equals_brute_force(spark, monkeypatch, literal):
     rows += [(460, "a omega77 ONLY b single99 c", "en", "s", 0), (461, "xx yy zz " * 9, "en", "s", 0), (462, prose(90, 12) + " " + prose(71, 14), "en", "s", 0)]
     docs = table(spark, rows, clash=("words", "key", "key2", "hits", "win", "n_words"))
     bench = spark.createDataFrame(items, "item_id bigint, text string")
-    got = {(r.doc_id, r.n_words): (r.n_words, r.n_hit, r.n_items) for r in op8_decontaminate.contamination(spark, docs, bench).collect()}
+    got = {(r.doc_id, r.n_words): (r.n_words, r.n_hit, r.n_items, r.items_sha256) for r in op8_decontaminate.contamination(spark, docs, bench).collect()}
     for r in rows:
         want = plain_hits(r[1], items)
         assert got[r[0], want[0]] == want, r[0]
@@ -417,6 +420,14 @@ def test_contamination_equals_brute_force(spark, monkeypatch, literal):
     assert kept.count() == sum(plain_hits(r[1], items)[1] == 0 for r in rows)
 
 
+def test_filter_passes_every_shingle_and_few_others(spark):
+    r = np.random.default_rng(5)
+    grams = spark.createDataFrame([(x,) for x in r.integers(-(2**63), 2**63, 3000).tolist()], "h bigint")
+    others = spark.createDataFrame([(x,) for x in r.integers(-(2**63), 2**63, 3000).tolist()], "h bigint")
+    passes = op8_decontaminate.shingle_filter(grams)
+    assert grams.where(passes(F.col("h"))).count() == 3000 and others.where(passes(F.col("h"))).count() < 150
+
+
 def test_contamination_of_empty_tables(spark):
     none = spark.createDataFrame([], "item_id bigint, text string")
     docs = table(spark)
