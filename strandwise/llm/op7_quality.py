@@ -1,10 +1,12 @@
 """Quality rules whose cutoffs come from quantile sketches per language and source.
 
 Each document's measures are taken once.  Mergeable quantile sketches of every
-measure are built per (language, source), partial ones merging on the way, and
-turned into fences: the upper quartile plus a multiple of the quartile range.
+measure are built per (language, source), per language and of all documents,
+partial ones merging on the way.  A group's quantiles are drawn towards those
+of its language, and these towards all, with a weight that fades as documents
+come, so a group of any size has fences of its own.  A fence is an upper
+quantile plus a multiple of its distance from the median; no cutoff is fixed.
 The fences are joined back and a document passes if it is inside all of them.
-A group of few documents has the fences of all documents.
 """
 
 from __future__ import annotations
@@ -25,10 +27,18 @@ from strandwise.llm.tokenize import bounded_batches
 LEAST_WORDS, REPEAT_PERCENT = 50, 50
 SYMBOLS, BLANKS = "#*$%&|<>", " \t\n\x0b\x0c\r"
 
-#: Each measure as a share and the least fence it can get: below it a document is never odd.
-FLOORS = {"symbol_share": 0.05, "dup_line_share": 0.05, "repeat_share": 0.30, "long_words": 9.0}
-SPREAD = 3.0
-LEAST_GROUP = 30
+#: Each measure as (count, of how many, upper quantile, distances added to it).  Symbols and word lengths hardly
+#: vary among most texts; repeated text has a long tail of its own, so its fences start further up.
+RULES = {
+    "symbol_share": ("n_symbols", "word_chars", 0.90, 3.0),
+    "dup_line_share": ("n_dup_lines", "n_words", 0.99, 1.0),
+    "repeat_share": ("n_repeat_words", "n_words", 0.99, 1.0),
+    "long_words": ("word_chars", "n_words", 0.90, 3.0),
+}
+#: Documents that the level above counts for.
+PRIOR = 100
+#: Counts up to this are within chance where the expected count is zero (the rule of three); lengths are no rare counts.
+CHANCE = {"symbol_share": 3, "dup_line_share": 3, "repeat_share": 3, "long_words": 0}
 ACCURACY = 10_000
 
 
@@ -78,57 +88,70 @@ def measured(spark: SparkSession, docs: DataFrame, row: list[str]) -> DataFrame:
 
 
 def _shares() -> dict[str, Column]:
-    n = F.greatest(F.col("n_words"), F.lit(1))
-    return {
-        "symbol_share": F.col("n_symbols") / F.greatest(F.col("word_chars"), F.lit(1)),
-        "dup_line_share": F.col("n_dup_lines") / n,
-        "repeat_share": F.col("n_repeat_words") / n,
-        "long_words": F.col("word_chars") / n,
-    }
+    return {name: F.col(count) / F.greatest(F.col(size), F.lit(1)) for name, (count, size, _, _) in RULES.items()}
 
 
 def base_failed() -> Column:
     return (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
 
 
-def fences(rows: DataFrame, keys: list[str], spread: float = SPREAD) -> DataFrame:
-    """Upper fences per group from documents that pass the base rules; one sketch a group and measure."""
-    shares = _shares()
-    sketch = [F.percentile_approx(c, [0.25, 0.75], ACCURACY).alias(f"q_{name}") for name, c in shares.items()]
-    quartiles = rows.where(~base_failed()).groupBy(*keys).agg(F.count("*").alias("n_group"), *sketch)
-    fence = [F.greatest(F.lit(FLOORS[name]), F.get(f"q_{name}", F.lit(1)) + spread * (F.get(f"q_{name}", F.lit(1)) - F.get(f"q_{name}", F.lit(0)))).alias(f"max_{name}") for name in shares]
-    return quartiles.select(*keys, "n_group", *fence)
+def _levels(rows: DataFrame) -> DataFrame:
+    """``_lang, _source, level, n`` and the median and upper quantile of each measure, of documents that pass the base rules.
+
+    ``level`` is 0 for a language and source, 1 for a language, 3 for all; one
+    sketch a group and measure, and one shuffle of partial sketches for all levels.
+    """
+    passes = ~base_failed()
+    sketch = [F.percentile_approx(F.when(passes, share), [0.5, RULES[name][2]], ACCURACY).alias(f"q_{name}") for name, share in _shares().items()]
+    levels = rows.rollup("lang", "source").agg(F.grouping_id().alias("level"), F.count(F.when(passes, 1)).alias("n"), *sketch)
+    return levels.withColumnsRenamed({"lang": "_lang", "source": "_source"})
+
+
+def fences(spark: SparkSession, rows: DataFrame, prior: int = PRIOR) -> DataFrame:
+    """``_lang, _source`` and the fence of each measure for every language and source; null where no document passes."""
+    levels = write_table(spark, _levels(rows), "quantiles")
+
+    def drawn(level: DataFrame, above: str) -> list[Column]:
+        own = [F.get(F.col(f"q_{name}"), F.lit(i)) for name in RULES for i in (0, 1)]
+        return [((F.col("n") * F.coalesce(q, F.lit(0.0)) + prior * F.col(f"{above}{k}")) / (F.col("n") + prior)) for k, q in enumerate(own)]
+
+    tops = [F.get(F.col(f"q_{name}"), F.lit(i)) for name in RULES for i in (0, 1)]
+    top = levels.where("level = 3").select(*(q.alias(f"a{k}") for k, q in enumerate(tops)))
+    top = top.unionByName(spark.range(1).select(*(F.lit(None).cast("double").alias(f"a{k}") for k in range(len(tops))))).agg(*(F.max(f"a{k}").alias(f"a{k}") for k in range(len(tops))))  # one row even of an empty table
+    langs = levels.where("level = 1").crossJoin(F.broadcast(top))
+    langs = langs.select(F.col("_lang").alias("_of"), *(q.alias(f"l{k}") for k, q in enumerate(drawn(langs, "a"))))
+    own = levels.where("level = 0").join(langs, F.col("_lang").eqNullSafe(F.col("_of")))
+    own = own.select("_lang", "_source", *(q.alias(f"s{k}") for k, q in enumerate(drawn(own, "l"))))
+    fence = [F.col(f"s{2 * i + 1}") + RULES[name][3] * (F.col(f"s{2 * i + 1}") - F.col(f"s{2 * i}")) for i, name in enumerate(RULES)]
+    # written, so that the planner knows its size when it chooses the join
+    return write_table(spark, own.select("_lang", "_source", *(f.alias(f"max_{name}") for f, name in zip(fence, RULES, strict=True))), "fences")
 
 
-def _verdicts(spark: SparkSession, docs: DataFrame, row: list[str], narrow: bool, least_group: int, spread: float) -> DataFrame:
+def _verdicts(spark: SparkSession, docs: DataFrame, row: list[str], narrow: bool, prior: int) -> DataFrame:
     rows = write_table(spark, measured(spark, docs, row if narrow else ["doc_id"]), "measures")
-    own = fences(rows, ["lang", "source"], spread).where(F.col("n_group") >= least_group)
-    # written, so that the planner knows its size when it chooses the join
-    own = write_table(spark, own.withColumnsRenamed({"lang": "_lang", "source": "_source"}), "fences")
-    whole = fences(rows, [], spread).collect()[0]
+    own = fences(spark, rows, prior)
     rows = rows if narrow else measured(spark, docs, row)
     joined = rows.join(own, F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source")), "left")
     inside = F.lit(True)
-    for name, share in _shares().items():
-        inside = inside & (share <= F.coalesce(f"max_{name}", F.lit(whole[f"max_{name}"] if whole.n_group else float("inf"))))
+    for name, (count, size, _, _) in RULES.items():
+        inside = inside & F.coalesce(F.col(count) - CHANCE[name] <= F.col(f"max_{name}") * F.greatest(F.col(size), F.lit(1)), F.lit(True))
     return joined.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & inside)
 
 
-def judged(spark: SparkSession, docs: DataFrame, least_group: int = LEAST_GROUP, spread: float = SPREAD) -> DataFrame:
+def judged(spark: SparkSession, docs: DataFrame, prior: int = PRIOR) -> DataFrame:
     """``doc_id``, the five counts, ``base_failed`` and ``kept`` for each row of ``docs(doc_id, text, lang, source)``.
 
     A null text has no words and fails; null languages and sources are groups
-    like any other; a group with fewer than ``least_group`` passing documents
-    is held against the fences of all documents; where none passes, no fence
-    applies.  Repeated rows are judged alike; an empty table gives no rows;
-    other columns are ignored.
+    like any other; where no document passes the base rules no fence applies.
+    Repeated rows are judged alike; a text of any length is one row; an empty
+    table gives no rows; other columns are ignored.
     """
-    return _verdicts(spark, docs, ["doc_id"], True, least_group, spread).select("row.doc_id", *COUNTS, "base_failed", "kept")
+    return _verdicts(spark, docs, ["doc_id"], True, prior).select("row.doc_id", *COUNTS, "base_failed", "kept")
 
 
-def passing(spark: SparkSession, docs: DataFrame, least_group: int = LEAST_GROUP, spread: float = SPREAD) -> DataFrame:
+def passing(spark: SparkSession, docs: DataFrame, prior: int = PRIOR) -> DataFrame:
     """The rows of ``docs`` that :func:`judged` keeps, with all their columns; texts are measured twice and not shuffled."""
-    return _verdicts(spark, docs, docs.columns, False, least_group, spread).where("kept").select("row.*")
+    return _verdicts(spark, docs, docs.columns, False, prior).where("kept").select("row.*")
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -136,21 +159,23 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op7_quality": op7_quality}
-_SHARE = {
-    "symbol_share": "n_symbols / greatest(word_chars, 1)::DOUBLE",
-    "dup_line_share": "n_dup_lines / greatest(n_words, 1)::DOUBLE",
-    "repeat_share": "n_repeat_words / greatest(n_words, 1)::DOUBLE",
-    "long_words": "word_chars / greatest(n_words, 1)::DOUBLE",
-}
 
 
-def _fence_sql(group: str) -> str:
-    q = lambda e, p: f"quantile_disc({e}, {p})"
-    cols = ", ".join(f"greatest({FLOORS[n]}, {q(e, 0.75)} + {SPREAD} * ({q(e, 0.75)} - {q(e, 0.25)})) AS max_{n}" for n, e in _SHARE.items())
-    return f"SELECT {group}count(*) AS n_group, {cols} FROM m WHERE NOT base_failed"
+def _drawn_sql(above: str, to: str) -> str:
+    out, k = [], 0
+    for name in RULES:
+        for i in (1, 2):
+            out.append(f"(n * coalesce(q_{name}[{i}], 0.0) + {PRIOR} * {above}{k}) / (n + {PRIOR}) AS {to}{k}")
+            k += 1
+    return ", ".join(out)
+
 
+_TOPS = ", ".join(f"q_{name}[{i + 1}] AS a{2 * j + i}" for j, name in enumerate(RULES) for i in (0, 1))
+_SKETCHES = ", ".join(f"quantile_disc({c} / greatest({z}, 1)::DOUBLE, [0.5, {p}]) FILTER (WHERE NOT base_failed) AS q_{name}" for name, (c, z, p, _) in RULES.items())
+_FENCES = ", ".join(f"s{2 * i + 1} + {r[3]} * (s{2 * i + 1} - s{2 * i}) AS max_{name}" for i, (name, r) in enumerate(RULES.items()))
+_INSIDE = " AND ".join(f"coalesce({c} - {CHANCE[name]} <= max_{name} * greatest({z}, 1), true)" for name, (c, z, _, _) in RULES.items())
 
-# sketches are exact up to ACCURACY documents a group, so quartiles of small tables have an exact oracle
+# sketches are exact up to ACCURACY documents a group, so quantiles of small tables have an exact oracle
 ORACLES: dict[str, str] = {
     "op7_quality": rf"""
 WITH w AS (SELECT row_number() OVER () AS r, doc_id, lang, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
@@ -161,10 +186,12 @@ m AS (SELECT *, n_words < {LEAST_WORDS} OR 100 * n_repeat_words > {REPEAT_PERCEN
  SELECT w.r, doc_id, lang, source, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
   (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols, coalesce(l.n, 0)::BIGINT AS n_dup_lines, coalesce(h.n, 0)::BIGINT AS n_repeat_words
  FROM w LEFT JOIN h ON h.r = w.r LEFT JOIN l ON l.r = w.r)),
-o AS ({_fence_sql('lang, source, ')} GROUP BY lang, source HAVING count(*) >= {LEAST_GROUP}),
-a AS ({_fence_sql('')})
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
- NOT base_failed AND {' AND '.join(f"{e} <= coalesce(o.max_{n}, a.max_{n})" for n, e in _SHARE.items())} AS kept
-FROM m LEFT JOIN o ON o.lang IS NOT DISTINCT FROM m.lang AND o.source IS NOT DISTINCT FROM m.source, a
+q AS (SELECT lang, source, grouping(lang, source) AS level, count(*) FILTER (WHERE NOT base_failed) AS n, {_SKETCHES} FROM m GROUP BY ROLLUP (lang, source)),
+top AS (SELECT {_TOPS} FROM q WHERE level = 3),
+langs AS (SELECT lang, {_drawn_sql("a", "l")} FROM q, top WHERE level = 1),
+own AS (SELECT q.lang, q.source, {_drawn_sql("l", "s")} FROM q JOIN langs ON q.lang IS NOT DISTINCT FROM langs.lang WHERE level = 0),
+f AS (SELECT lang, source, {_FENCES} FROM own)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND {_INSIDE} AS kept
+FROM m LEFT JOIN f ON f.lang IS NOT DISTINCT FROM m.lang AND f.source IS NOT DISTINCT FROM m.source
 """
 }
