@@ -1,13 +1,13 @@
 """Mixing sources to target weights by systematic sampling.
 
-Every document of a source is expected equally often.  Documents are put in
-order of size within their source, expected copies are summed along that
-order, one random offset is added, and a document is taken once for each whole
-number that its step crosses.  Neighbours in the order are of nearly equal
-size, so the words taken stay within a few documents of the target.  The
-offset of a source is drawn from a fixed number of random ones, as the one
-whose words come nearest to the target (restricted randomisation), which
-matters where few long documents carry a source.
+Every document of a source is expected equally often, target / size of the
+source times.  Documents are ranked by size within their source and put in an
+order that rises over the even ranks and falls over the odd ones; expected
+copies are summed along it, one random offset is added, and a document is
+taken once for each whole number that its step crosses.  Neighbours in the
+order are of nearly equal size and both ends are small, so what the sums miss
+at one document the next ones give back: the words taken differ from the
+target by less than twice the largest document.
 """
 
 from __future__ import annotations
@@ -15,20 +15,16 @@ from __future__ import annotations
 import os
 from collections.abc import Callable
 
-import numpy as np
-import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from strandwise.llm.ranked import before, in_order
+from strandwise.llm.ranked import in_order
 from strandwise.llm.storage import write_table
 
 #: Fixed values of the contract.
 WEIGHTS = (5, 2, 1)
 MOST = 3
-OFFSETS = 64
 SPACE = r"[^\x20\x09-\x0D]+"
 
 
@@ -51,71 +47,53 @@ def targets(sizes: list[tuple[str | None, int]], weights: tuple[int, ...] = WEIG
     return out
 
 
+def offset(seed: int, source: str | None) -> float:
+    """The one random number of a source, from 0 to 1; a multiple of 2^-20, so that whole rates stay whole."""
+    return (xxhash.xxh64_intdigest(f"{seed} {source!r}") >> 44) / 2**20
+
+
 def mix(spark: SparkSession, docs: DataFrame, keep: list[str] | None = None, seed: int = 6, **how) -> DataFrame:
     """``doc_id, source, size, source_size, target, copies`` for each row of ``docs(doc_id, text, source)``.
 
     The offset of a source comes from ``seed`` and its name, and the order is
     total (source, size, ``doc_id``), so reruns agree whatever the partitions.
     A null text has no words and a null source is a source; rows that agree in
-    all three keys are interchangeable; an empty table gives no rows.  ``keep``
-    names further columns to carry along.
+    all three keys are interchangeable; a text of any length is one row; an
+    empty table gives no rows; other columns are ignored but for those that
+    ``keep`` names.  The driver holds one row a source.
     """
     keep = keep or []
     words = F.coalesce(F.regexp_count("text", F.lit(SPACE)), F.lit(0)).cast("bigint")
     narrow = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "source", words.alias("size"), *keep)
     rows = in_order(spark, narrow, [F.col("source").asc_nulls_last(), "size", "doc_id"], "mix")
-    by_part = rows.groupBy("source", "part").agg(F.sum("size").alias("b"), F.count("*").alias("n"), F.min("nth").alias("least")).collect()
-    sums: dict[str | None, int] = {}
-    parts: dict[str | None, dict[int, int]] = {}
-    for r in by_part:
-        sums[r.source] = sums.get(r.source, 0) + r.b
-        parts.setdefault(r.source, {})[r.part] = r.n
-    target = targets(list(sums.items()), **how)
-    offset: dict[tuple, int] = {}
-    for source, counts in parts.items():
-        offset |= {(source, part): n for part, n in before(counts).items()}
-    offset = {(r.source, r.part): offset[r.source, r.part] - r.least for r in by_part}
-    rate = {s: target[s] / sums[s] if sums[s] else 0.0 for s in sums}
-    # multiples of 2^-20, so that whole rates stay whole
-    drawn = {s: [(xxhash.xxh64_intdigest(f"{seed} {j} {s!r}") >> 44) / 2**20 for j in range(OFFSETS)] for s in sums}
-
-    def crossed(batch, u_of) -> tuple[list, np.ndarray]:
-        source, part = batch.column("source").to_pylist(), batch.column("part").to_pylist()
-        place = batch.column("nth").to_numpy() + np.array([offset[x] for x in zip(source, part, strict=True)], np.int64)
-        r, u = np.array([rate[s] for s in source], float), np.array([u_of[s] for s in source], float).T
-        return source, (np.floor(r * (place + 1) + u) - np.floor(r * place + u)).astype(np.int64)
-
-    def tried(batches):
-        sums_of: dict = {}
-        for batch in batches:
-            source, copies = crossed(batch, drawn)
-            words = copies * batch.column("size").to_numpy()
-            code = {s: i for i, s in enumerate(dict.fromkeys(source))}
-            mine = np.array([code[s] for s in source])
-            for s, i in code.items():
-                sums_of[s] = sums_of.get(s, 0) + words[:, mine == i].sum(1)
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums_of), pa.string()), pa.array([v.tolist() for v in sums_of.values()], pa.list_(pa.int64()))], ["source", "words"])
-
-    by_offset = rows.mapInArrow(tried, "source string, words array<bigint>").select("source", F.posexplode("words").alias("j", "w")).groupBy("source", "j").agg(F.sum("w").alias("w")).collect()
-    start: dict[str | None, float] = {}
-    for r in sorted(by_offset, key=lambda r: (abs(r.w - target[r.source]), r.j)):
-        start.setdefault(r.source, drawn[r.source][r.j])
-
-    def run(batches):
-        for batch in batches:
-            source, copies = crossed(batch, start)
-            more = [pa.array([sums[s] for s in source], pa.int64()), pa.array([target[s] for s in source], pa.float64()), pa.array(copies)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*batch.schema.names, "source_size", "target", "copies"])
-
-    schema = T.StructType([*rows.schema.fields, T.StructField("source_size", T.LongType()), T.StructField("target", T.DoubleType()), T.StructField("copies", T.LongType())])
-    return rows.mapInArrow(run, schema).drop("part", "nth")
+    parts = rows.groupBy("source", "part").agg(F.sum("size").alias("b"), F.count("*").alias("n"), F.min("nth").alias("least"))
+    parts = write_table(spark, parts, "mix-parts")
+    totals = parts.groupBy("source").agg(F.sum("b").alias("b"), F.sum("n").alias("n")).collect()
+    target = targets([(r.source, r.b) for r in totals], **how)
+    table = [(r.source, r.b, float(target[r.source]), r.n, target[r.source] / r.b if r.b else 0.0, offset(seed, r.source)) for r in totals]
+    sources = spark.createDataFrame(table, "_of string, source_size bigint, target double, n bigint, rate double, u double")
+    earlier = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row a partition
+    starts = parts.select("source", "part", (F.coalesce(F.sum("n").over(earlier), F.lit(0)) - F.col("least")).alias("start"))
+    starts = starts.join(sources, F.col("source").eqNullSafe(F.col("_of"))).select("_of", F.col("part").alias("_part"), "start", "source_size", "target", "n", "rate", "u")
+    starts = write_table(spark, starts, "mix-starts")  # the planner chooses the join by its size
+    joined = rows.join(starts, F.col("source").eqNullSafe(F.col("_of")) & (F.col("part") == F.col("_part")))
+    rank = F.col("nth") + F.col("start")
+    place = F.when(rank % 2 == 0, F.floor(rank / 2)).otherwise(F.col("n") - 1 - F.floor(rank / 2))
+    copies = F.floor(F.col("rate") * (place + 1) + F.col("u")) - F.floor(F.col("rate") * place + F.col("u"))
+    return joined.select("doc_id", "source", "size", *keep, "source_size", "target", copies.cast("bigint").alias("copies"))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, **how) -> DataFrame:
-    """The rows of ``docs`` as often as the mix takes them; repeated rows share their copies."""
-    doc_id = F.col("doc_id").cast("bigint")
-    row = docs.select(F.struct(*docs.columns).alias("_row"), F.xxhash64(doc_id.isNull(), "source", F.coalesce("text", F.lit(""))).alias("_k"), F.coalesce(doc_id, F.lit(0)).alias("_id"))
-    narrow = docs.select("doc_id", "text", "source", F.xxhash64(doc_id.isNull(), "source", F.coalesce("text", F.lit(""))).alias("_k"))
+    """The rows of ``docs(doc_id, text, source, ..)`` as often as the mix takes them, with all their columns.
+
+    Rows that agree in every column share their copies; rows that differ in any
+    are taken each on its own.  Nulls in any column are values, an empty table
+    gives no rows, and columns may have any names.
+    """
+    whole = F.xxhash64(*(docs[c] for c in docs.columns), *(docs[c].isNull() for c in docs.columns))
+    doc_id = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(0))
+    row = docs.select(F.struct(*docs.columns).alias("_row"), whole.alias("_k"), doc_id.alias("_id"))
+    narrow = docs.select("doc_id", "text", "source", whole.alias("_k"))
     counts = mix(spark, narrow, keep=["_k"], **how).groupBy(F.coalesce("doc_id", F.lit(0)).alias("_id"), "_k").agg(F.sum("copies").alias("copies"))
     counts = write_table(spark, counts.where("copies > 0"), "copies")
     one = row.join(counts, ["_id", "_k"]).dropDuplicates(["_id", "_k"])

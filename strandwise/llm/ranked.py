@@ -20,7 +20,8 @@ def in_order(spark: SparkSession, narrow: DataFrame, keys: list, label: str, ann
     place in it, so a row's global place is the sum of the sizes of earlier
     partitions plus ``nth``.  ``annotate`` adds the columns of the DDL
     ``extra`` to each batch; it sees a partition's batches in order and is
-    called anew for every partition.  Ranges split any hot key.
+    called anew for every partition.  Ranges split a hot
+    key by the keys after it; rows equal in all keys stay in one partition, narrow and streamed.
     """
     first = write_table(spark, narrow, f"{label}-rows")  # the range sample then reads narrow rows, not texts
     schema = T.StructType([*first.schema.fields, *T._parse_datatype_string(f"part int, nth bigint{', ' + extra if extra else ''}").fields])

@@ -272,6 +272,33 @@ def test_shards_of_awkward_rows(spark):
     assert op3_sharding.shards(spark, empty(spark)).count() == 0
 
 
+def test_shards_equal_a_walk_byte_by_byte(spark):
+    rows = [(i, prose(i % 37, 1 + random.Random(i).randint(0, 12)), "en", "s0", 0) for i in range(150)] + [(900 + i, "hot copy", "en", "s0", 0) for i in range(60)]
+    at, owner = op3_sharding.ring(5, 8)
+    hashed = table(spark, rows).select("doc_id", "text", F.xxhash64("text").alias("pos")).collect()
+    order = sorted((r.pos, r.doc_id, len(r.text.encode()) + 1) for r in hashed)
+    late = [x for x in order if x[0] > at[-1]]
+    order = late + [x for x in order if x[0] <= at[-1]]  # what lies past the last point belongs to the first
+    total = sum(x[2] for x in order)
+    room = [-(-int(total * 1.001 + 1) // 5)] * 5
+    own = collections.defaultdict(list)
+    for pos, doc_id, size in order:
+        own[0 if pos > at[-1] else int(np.searchsorted(at, pos))] += [(doc_id, b) for b in range(size)]
+    home, queue = {}, collections.deque()
+    for turn in range(2):
+        for i, s in enumerate(owner.tolist()):
+            if turn == 0:
+                for byte in own[i]:
+                    if room[s]:
+                        home[byte], room[s] = s, room[s] - 1
+                    else:
+                        queue.append(byte)
+            while queue and room[s]:
+                home[queue.popleft()], room[s] = s, room[s] - 1
+    got = {r.doc_id: r.shard for r in op3_sharding.shards(spark, table(spark, rows), 5, 8).collect()}
+    assert got == {doc_id: home[doc_id, size // 2] for _, doc_id, size in order}
+
+
 def test_walk_gives_every_byte_once():
     rng = np.random.default_rng(5)
     for _ in range(30):
@@ -329,6 +356,31 @@ def test_mix_meets_targets_and_repeats(spark):
         assert all(r.copies in (int(rate[s]), int(rate[s]) + 1) for r in got if r.source == s)
 
 
+def test_mix_equals_a_walk_over_sorted_rows(spark):
+    rows = [(i, prose(i, random.Random(i).choice([0, 3, 30, 30, 400])), "en", random.Random(-i).choice(["a", "b", None]), 0) for i in range(240)]
+    got = {r.doc_id: r.copies for r in op6_mixing.mix(spark, table(spark, rows).repartition(5)).collect()}
+    size = {r[0]: len(r[1].split()) for r in rows}
+    own = collections.defaultdict(list)
+    for r in rows:
+        own[r[3]].append(r[0])
+    target = op6_mixing.targets([(s, sum(size[i] for i in ids)) for s, ids in own.items()])
+    for s, ids in own.items():
+        ids.sort(key=lambda i: (size[i], i))
+        rate, at = target[s] / sum(size[i] for i in ids), op6_mixing.offset(6, s)
+        taken = 0
+        for k, i in enumerate(ids[::2] + ids[1::2][::-1]):
+            copies = int(rate * (k + 1) + at) - int(rate * k + at)
+            assert got[i] == copies
+            taken += copies * size[i]
+        assert abs(taken - target[s]) < 2 * max(size[i] for i in ids)
+
+
+def test_rows_that_differ_in_any_column_are_mixed_on_their_own(spark):
+    rows = [(1, prose(1, 40), lang, "a", n) for lang in ("en", "de", None) for n in (40, None)] * 2 + [(2, prose(2, 40), "a", "a", 0)]
+    out = op6_mixing.mixed(spark, table(spark, rows)).collect()
+    assert collections.Counter(map(tuple, out)) == collections.Counter(rows)  # one source takes each row once
+
+
 def test_mixed_rows(spark):
     docs = table(spark, clash=("_k", "_id", "copies"))
     out = op6_mixing.mixed(spark, docs)
