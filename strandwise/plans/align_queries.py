@@ -11,6 +11,7 @@ from strandwise.operators import bounded, merge, seeds
 from strandwise.operators import kernels as K
 from strandwise.operators import pairing as P
 from strandwise.operators.grouped import per_group
+from strandwise.operators.overlaps import Standing
 from strandwise.plans.registry import FIXTURES, fixture, query
 from strandwise.plans.scratch import scratch_folder
 from strandwise.plans.search_queries import _KM, tables
@@ -18,6 +19,8 @@ from strandwise.plans.search_queries import K as SEED
 from strandwise.sources import sam
 
 SC = K.Scoring()
+#: The codes of a chain's standing in the output.
+_KEPT = {Standing.ALONE: 3, Standing.CONTESTED: 2, Standing.SPARE: 1}
 
 FIXTURES["windows"] = "SELECT doc_id, substring(seq, CAST((doc_id * 7919) % (length(seq) - 300) + 1 AS INT), 200) AS target, substring(seq, CAST((doc_id * 7919) % (length(seq) - 300) + 71 AS INT), 60) AS query FROM {dna} WHERE length(seq) >= 400"
 
@@ -95,7 +98,7 @@ def chain_exact(spark, d):
 @query("chain_flt")
 def chain_flt(spark, d):
     def one(read, rows):
-        return [(read, i, c.kept, c.weight, c.beg, c.end) for i, c in enumerate(A.filtered(_chains(rows), A.MemOptions()))]
+        return [(read, i, _KEPT[c.standing], c.weight, c.beg, c.end) for i, c in enumerate(A.filtered(_chains(rows), A.MemOptions()))]
 
     return per_group(fixture(spark, d, "seeds"), "read_id", "read_id bigint, nth int, kept int, weight int, qb int, qe int", one)
 

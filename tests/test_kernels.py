@@ -9,6 +9,7 @@ import pytest
 from strandwise.operators import align as A
 from strandwise.operators import kernels as K
 from strandwise.operators.merge import merge_pair
+from strandwise.operators.overlaps import Spans, Standing, parents, without_redundant
 
 SC = K.Scoring()
 
@@ -150,7 +151,7 @@ def test_chains():
     assert sorted(len(c.seeds) for c in chains) == [1, 1, 2]
     assert max(map(A.weight, chains)) == 40
     kept = A.filtered(chains, opt)
-    assert kept[0].kept == 3 and all(c.kept for c in kept)
+    assert kept[0].standing is Standing.ALONE and all(c.standing is not Standing.DROPPED for c in kept)
 
 
 def test_primaries():
@@ -162,6 +163,24 @@ def test_primaries():
     assert rows[0].secondary == -1 and not rows[0].alt and rows[0].alt_score == 90
 
 
+def test_parents_are_the_first_primaries_that_cover():
+    r = random.Random(9)
+    for _ in range(200):
+        rows = [(b, b + r.randint(1, 30), False) for b in (r.randint(0, 60) for _ in range(r.randint(0, 9)))]
+        parent = parents(Spans.of(rows), 0.5)
+        for i, (b, e, _) in enumerate(rows):
+            covers = [j for j in range(i) if parent[j] < 0 and min(e, rows[j][1]) - max(b, rows[j][0]) >= max(1, 0.5 * min(e - b, rows[j][1] - rows[j][0]))]
+            assert parent[i] == (covers[0] if covers else -1)
+
+
+def test_best_of_redundant_regions_stay():
+    same = lambda n: np.array([(100, 200 + k % 2) for k in range(n)])
+    stays = without_redundant(np.array(sorted(same(6).tolist(), key=lambda x: x[1])), same(6), np.array([50, 70, 60, 90, 80, 10]), 0.95, 10_000)
+    assert stays.tolist() == [3]
+    apart = np.array([(0, 100), (50, 150), (90, 190)])
+    assert without_redundant(apart, apart, np.array([1, 2, 3]), 0.95, 10_000).tolist() == [0, 1, 2]
+
+
 @pytest.mark.parametrize("overlap", [15, 30, 59])
 def test_merge(overlap):
     r = random.Random(overlap)
