@@ -24,6 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandwise.llm.bloom import hash_filter
 from strandwise.llm.components import connected_components
 from strandwise.llm.storage import drop_table, write_table
 from strandwise.llm.tokenize import bounded_batches
@@ -504,15 +505,29 @@ def _possible(pairs: DataFrame, sketches: DataFrame, similarity: float) -> DataF
     return pairs.join(side("a", "a"), "a").join(side("b", "b"), "b").select("a", "b", "na", "nb", "pa", "pb").mapInArrow(run, "a bigint, b bigint")
 
 
-def _alike(spark: SparkSession, sets: DataFrame, pairs: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
+def _shingle_sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
+    """``(node, hashes)``: the shingles of one text for each of ``wanted(key, node)``; other texts are not moved."""
+
+    def run(batches):
+        for batch in batches:
+            out = [shingle_set(text, shingle).view(np.int64) for text in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int64()))], ["node", "hashes"])
+
+    text = F.coalesce("text", F.lit(""))
+    texts = docs.select(F.xxhash64(text).alias("key"), text.alias("text")).where(hash_filter(wanted.select("key"))(F.col("key")))
+    return texts.join(wanted, "key").dropDuplicates(["node"]).select("node", "text").mapInArrow(run, "node bigint, hashes array<bigint>")
+
+
+def _alike(spark: SparkSession, docs: DataFrame, nodes: DataFrame, pairs: DataFrame, sketches: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """The ``pairs(a, b)`` whose sets of shingles are that similar."""
     pairs = write_table(spark, _possible(pairs, sketches, similarity), "possible-pairs")
-    ends = write_table(spark, pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct(), "wanted-sets")
-    wanted = write_table(spark, sets.join(ends, "node", "left_semi").select("node", "hashes").dropDuplicates(["node"]), "wanted-sets")
-    both = pairs.join(wanted.select(F.col("node").alias("a"), F.col("hashes").alias("ha")), "a").join(wanted.select(F.col("node").alias("b"), F.col("hashes").alias("hb")), "b")
+    ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+    wanted = write_table(spark, nodes.join(ends, "node", "left_semi").groupBy("node").agg(F.min("key").alias("key")), "wanted-texts")
+    sets = write_table(spark, _shingle_sets(docs, wanted, shingle), "wanted-sets")
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("ha")), "a").join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("hb")), "b")
     common = F.size(F.array_intersect("ha", "hb"))
     found = write_table(spark, both.where(common + 1e-9 >= similarity * (F.size("ha") + F.size("hb") - common)).select("a", "b"), "alike")
-    for table in (pairs, ends, wanted):
+    for table in (pairs, wanted, sets):
         drop_table(spark, table)
     return found
 
@@ -558,6 +573,8 @@ def similar_groups(spark: SparkSession, docs: DataFrame, shingle: int = 5, simil
 
     schema = f"node bigint, size int, parity binary, prefix array<bigint>, {', '.join(f'{w} bigint' for w in names)}"
     distinct = write_table(spark, sets.select("node", "hashes").mapInArrow(prints, schema).dropDuplicates(["node"]), "sketches")
+    nodes = write_table(spark, sets.select("doc_id", "key", "node"), "nodes")
+    drop_table(spark, sets)  # few texts are looked at again
     shared = _shared_anchors(spark, distinct)
 
     def met(at, take):
@@ -568,33 +585,44 @@ def similar_groups(spark: SparkSession, docs: DataFrame, shingle: int = 5, simil
     wide = distinct.select("node", *names)
     found = write_table(spark, met(shared.join(wide, "node").withColumn("root", F.col("node")), _Group.nearest), "near-pairs")
     first = found.where("a is not null").select("a", "b")
-    linked = connected_components(spark, _alike(spark, sets, first, distinct, similarity))
+    linked = connected_components(spark, _alike(spark, docs, nodes, first, distinct, shingle, similarity))
 
     # what was not offered and is still apart; anchors where each row had one candidate are done
     crowded = found.where("anchor is not null").select("anchor").distinct()
     again = shared.join(crowded, "anchor", "left_semi").join(wide, "node").join(linked, "node", "left").withColumn("root", F.coalesce("root", "node"))
     second = write_table(spark, met(again, _Group.rest).select("a", "b").join(first, ["a", "b"], "left_anti"), "other-pairs")
     drop_table(spark, shared)
-    alike = _alike(spark, sets, second, distinct, similarity)
+    alike = _alike(spark, docs, nodes, second, distinct, shingle, similarity)
     root = lambda c, r: linked.select(F.col("node").alias(c), F.col("root").alias(r))
     apart = alike.join(root("a", "ra"), "a", "left").join(root("b", "rb"), "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
     more = connected_components(spark, apart)
-    own_root = sets.select("doc_id", "key", "node").join(linked, "node", "left").select("doc_id", "key", F.coalesce("root", "node").alias("node"))
+    own_root = nodes.join(linked, "node", "left").select("doc_id", "key", F.coalesce("root", "node").alias("node"))
     groups = write_table(spark, own_root.join(more, "node", "left").select("doc_id", "key", F.coalesce("root", "node").alias("node")), "groups")
-    for table in (sets, distinct, found, second, alike):
+    for table in (nodes, distinct, found, second, alike):
         drop_table(spark, table)
     return groups
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """The row of ``docs`` with the smallest ``doc_id`` of each group, nulls last; one of repeated rows."""
+    """The row of ``docs(doc_id, text, ..)`` with the smallest ``doc_id`` of each group, nulls last; one of repeated rows.
+
+    Rows that agree in ``doc_id`` and text are repeated rows whatever else they
+    hold; blank and null texts are one group; texts of any length are compared
+    whole; columns may have any names; an empty table gives no rows.  Only
+    texts that others are equal or similar to are moved.
+    """
     groups = similar_groups(spark, docs, shingle, similarity)
-    order = F.struct(F.col("doc_id").isNull().alias("no"), F.coalesce("doc_id", F.lit(0)).alias("id"), "key")
-    chosen = groups.groupBy("node").agg(F.min(order).alias("o")).select(F.col("o.no").alias("_no"), F.col("o.id").alias("_id"), F.col("o.key").alias("_key"))
-    chosen = write_table(spark, chosen, "chosen")
+    own = groups.select(F.col("doc_id").isNull().alias("_no"), F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("key").alias("_key"), "node")
+    same = write_table(spark, own.groupBy("_no", "_id", "_key").agg(F.min("node").alias("node"), F.count("*").alias("n")), "rows")
+    first = same.groupBy("node").agg(F.min(F.struct("_no", "_id", "_key")).alias("o"))
+    chosen = write_table(spark, first.select(F.col("o._no").alias("_no"), F.col("o._id").alias("_id"), F.col("o._key").alias("_key")), "chosen")
+    repeated = same.where("n > 1").select("_key")
+    touched = same.join(chosen, ["_no", "_id", "_key"], "left_anti").select("_key").union(repeated)
     doc_id = F.col("doc_id").cast("bigint")
     keyed = docs.select(F.struct(*docs.columns).alias("_row"), doc_id.isNull().alias("_no"), F.coalesce(doc_id, F.lit(0)).alias("_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_key"))
-    return keyed.join(chosen, ["_no", "_id", "_key"]).dropDuplicates(["_no", "_id", "_key"]).select("_row.*")
+    maybe = hash_filter(touched)(F.col("_key"))
+    rest = keyed.where(maybe).join(chosen, ["_no", "_id", "_key"]).dropDuplicates(["_no", "_id", "_key"])
+    return keyed.where(~maybe).select("_row").unionByName(rest.select("_row")).select("_row.*")
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,6 +18,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandwise.llm.bloom import hash_filter
 from strandwise.llm.storage import write_table
 
 #: Fixed values of the contract.
@@ -26,9 +27,6 @@ WINDOW = 10
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 SHINGLE = 3
-#: Bits of the filter for each benchmark shingle, and the least and the most bits of it (2 MB).
-BITS_EACH, LEAST_BITS, MOST_BITS = 16, 1 << 14, 1 << 24
-
 
 def words_of(text: Column) -> Column:
     """Words of a text with A-Z in lower case; null has none."""
@@ -77,34 +75,6 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumns({"key": F.coalesce(doc_id, F.lit(0)), "key2": F.xxhash64(F.coalesce("text", F.lit("")), doc_id.isNull())})
 
 
-def _places(h: Column, bits: int) -> list[Column]:
-    """The two bits of the filter that a hash sets: its low and its high half."""
-    return [h.bitwiseAND(F.lit(bits - 1)), F.call_function("shiftright", h, F.lit(32)).bitwiseAND(F.lit(bits - 1))]
-
-
-def shingle_filter(grams: DataFrame) -> Callable[[Column], Column]:
-    """A test of hashes that every one of ``grams(h)`` passes, and others seldom.
-
-    The bits grow with the number of hashes up to a bound; beyond it more of
-    the others pass, which costs room and changes no result.
-    """
-    own = grams.select("h").distinct()
-    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (BITS_EACH * max(1, own.count()) - 1).bit_length()))
-    set_bits = own.select(F.explode(F.array(*_places(F.col("h"), bits))).alias("p"))
-    word, one = F.call_function("shiftright", "p", F.lit(6)), F.lit(1).cast("bigint")
-    rows = set_bits.groupBy(word.alias("at")).agg(F.bit_or(F.call_function("shiftleft", one, F.col("p").bitwiseAND(F.lit(63)).cast("int"))).alias("v")).collect()
-    words = ["0"] * (bits // 64)
-    for r in rows:
-        words[r["at"]] = str(r.v)
-    table = F.split(F.lit(",".join(words)), ",").cast("array<bigint>")  # one literal once the planner has folded it
-
-    def passes(h: Column) -> Column:
-        tests = [F.call_function("getbit", F.get(table, F.call_function("shiftright", p, F.lit(6)).cast("int")), p.bitwiseAND(F.lit(63)).cast("int")) == 1 for p in _places(h, bits)]
-        return tests[0] & tests[1]
-
-    return passes
-
-
 def _hits(spark: SparkSession, docs: DataFrame, bench: DataFrame, window: int) -> tuple[DataFrame, DataFrame]:
     """``(doc_id, key, key2, n_words)`` of all rows, and :func:`_verified` of those with a window."""
     windows = write_table(spark, item_windows(bench, window), "windows")
@@ -114,7 +84,7 @@ def _hits(spark: SparkSession, docs: DataFrame, bench: DataFrame, window: int) -
     found = F.array().cast("array<struct<i:int,h:bigint>>")
     if ks:
         grams = write_table(spark, _window_shingles(windows, ks), "window-shingles")
-        passes = shingle_filter(grams)
+        passes = hash_filter(grams.select("h"))
         for k in ks:
             at = F.filter(_hashes(w, k), lambda x: passes(x["h"]))  # a short one at the end cannot pass the comparison of words
             found = at if k == ks[0] else F.concat(found, at)
@@ -149,10 +119,17 @@ def contamination(spark: SparkSession, docs: DataFrame, bench: DataFrame, window
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, bench: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The rows of ``docs`` in which no window of the benchmark occurs, with all their columns."""
+    """The rows of ``docs(doc_id, text, ..)`` in which no window of the benchmark occurs, with all their columns.
+
+    A null text stays, rows with equal ``doc_id`` and text share their fate, a
+    null ``doc_id`` is a value like any other, texts of any length are searched
+    whole, columns may have any names, and empty tables on either side are fine.
+    """
     hit = write_table(spark, _hits(spark, docs, bench, window)[1].select(F.col("key").alias("_k"), F.col("key2").alias("_k2")), "contaminated")
-    keyed = _keyed(docs.select(F.struct(*docs.columns).alias("_row"), "doc_id", "text"))
-    return keyed.join(hit, (F.col("key") == F.col("_k")) & (F.col("key2") == F.col("_k2")), "left_anti").select("_row.*")
+    keyed = _keyed(docs.select(F.struct(*docs.columns).alias("_row"), "doc_id", "text")).drop("doc_id", "text")
+    maybe = hash_filter(hit.select("_k2"))(F.col("key2"))
+    rest = keyed.where(maybe).join(hit, (F.col("key") == F.col("_k")) & (F.col("key2") == F.col("_k2")), "left_anti")
+    return keyed.where(~maybe).unionByName(rest).select("_row.*")  # texts that surely stay are not moved
 
 
 def _verified(spark: SparkSession, docs: DataFrame, rows: DataFrame, grams: DataFrame) -> DataFrame:
@@ -166,7 +143,8 @@ def _verified(spark: SparkSession, docs: DataFrame, rows: DataFrame, grams: Data
     bounded = cands.join(prefix, "h").where((start >= 0) & (start + F.size("win") <= F.col("n_words")))
     offered = bounded.groupBy("key", "key2").agg(F.collect_set(F.struct(start.alias("p"), "win", "items")).alias("offers"))
     offered = write_table(spark, offered, "candidates")
-    texts = _keyed(docs.select("doc_id", "text")).select("key", "key2", "text").join(offered, ["key", "key2"])
+    texts = _keyed(docs.select("doc_id", "text")).select("key", "key2", "text")
+    texts = texts.where(hash_filter(offered.select("key2"))(F.col("key2"))).join(offered, ["key", "key2"])  # other texts are not moved
     # the words are bound by a lambda of their own, so that they are cut once a text and not once an offer
     same = F.transform(F.array(words_of(F.col("text"))), lambda w: F.filter("offers", lambda x: F.slice(w, (x["p"] + 1).cast("int"), F.size(x["win"])) == x["win"]))
     found = texts.select("key", "key2", F.element_at(same, 1).alias("found")).where(F.size("found") > 0)

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from helpers import awkward, empty, prose, table
-from strandwise.llm import op3_sharding, op5_simhash, op6_mixing, op7_quality, op8_decontaminate
+from strandwise.llm import bloom, op3_sharding, op5_simhash, op6_mixing, op7_quality, op8_decontaminate
 from strandwise.llm.components import connected_components
 
 # ---- components and SimHash ----
@@ -453,8 +453,8 @@ def plain_hits(text, items):
 
 @pytest.mark.parametrize("most", [1 << 24, 64])
 def test_contamination_equals_brute_force(spark, monkeypatch, most):
-    monkeypatch.setattr(op8_decontaminate, "LEAST_BITS", min(most, op8_decontaminate.LEAST_BITS))
-    monkeypatch.setattr(op8_decontaminate, "MOST_BITS", most)  # a full filter passes nearly all
+    monkeypatch.setattr(bloom, "LEAST_BITS", min(most, bloom.LEAST_BITS))
+    monkeypatch.setattr(bloom, "MOST_BITS", most)  # a full filter passes nearly all
     items = [(i, prose(70 + i, 14)) for i in range(6)] + [(20, prose(70, 14)), (21, "Omega77 Only"), (22, "single99"), (23, "!!"), (24, None), (None, prose(90, 12)), (25, "xx yy zz " * 5)]
     rows = awkward()
     for i in range(6):
@@ -476,7 +476,7 @@ def test_filter_passes_every_shingle_and_few_others(spark):
     r = np.random.default_rng(5)
     grams = spark.createDataFrame([(x,) for x in r.integers(-(2**63), 2**63, 3000).tolist()], "h bigint")
     others = spark.createDataFrame([(x,) for x in r.integers(-(2**63), 2**63, 3000).tolist()], "h bigint")
-    passes = op8_decontaminate.shingle_filter(grams)
+    passes = bloom.hash_filter(grams)
     assert grams.where(passes(F.col("h"))).count() == 3000 and others.where(passes(F.col("h"))).count() < 150
 
 
