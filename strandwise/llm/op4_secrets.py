@@ -1,8 +1,9 @@
 """Secret scans: base patterns, and credential-context values by their guess cost.
 
-The guess cost of a value is the least cost of any segmentation into common
-words, dates, repeats, sequences, keyboard walks and brute-force spans, found
-by dynamic programming over its positions.  A value after a credential keyword
+The guess cost of a value is the least cost of any segmentation into ranked
+words, dates, repeats, sequences, keyboard walks and brute-force spans of any
+length, found by dynamic programming over its positions; repeats, sequences and
+walks go as far as they reach from where they begin.  A value after a credential keyword
 is a secret if guessing it costs more than a threshold, so ``changeme`` and
 ``qwerty2019`` are left alone while short but random values are found.
 """
@@ -10,6 +11,7 @@ is a secret if guessing it costs more than a threshold, so ``changeme`` and
 from __future__ import annotations
 
 import hashlib
+import json
 import math
 import os
 import re
@@ -20,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandwise.llm.tokenize import bounded_batches
+from strandwise.llm.tokenize import bounded_batches, tokenizer_path
 
 KINDS = ("assign", "access", "hex")
 
@@ -43,7 +45,7 @@ CONTEXT = re.compile(
     re.IGNORECASE | re.ASCII,
 )
 
-#: Common parts of weak passwords, by rank.
+#: Common parts of weak passwords, by rank; the words of a public vocabulary follow in its order.
 WORDS = (
     "password passwd pass qwerty abc admin welcome login letmein monkey dragon master hello freedom whatever shadow sunshine princess football baseball "
     "iloveyou trustno superman batman secret access default changeme change guest root user test testing example sample demo temp foobar foo bar "
@@ -56,15 +58,17 @@ WORDS = (
 ROWS = ("1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./")
 THRESHOLD_BITS = 38.0
 SEGMENT_BITS = 1.0
-LONGEST_SEGMENT = 24
+LEAST_WORD = 3
 
 
-@lru_cache(maxsize=1)
-def _ranks() -> dict[str, float]:
-    out: dict[str, float] = {}
-    for i, w in enumerate(WORDS):
-        out.setdefault(w, math.log2(i + 2))
-    return out
+@lru_cache(maxsize=2)
+def _ranks(vocabulary: str) -> tuple[dict[str, float], int]:
+    """Bits of each word by its rank, and the length of the longest; vocabularies list frequent pieces first."""
+    with open(vocabulary, encoding="utf-8") as file:
+        pieces = json.load(file)["model"]["vocab"]
+    whole = (t.removesuffix("</w>") for t in sorted(pieces, key=pieces.get) if t.endswith("</w>"))
+    ranked = dict.fromkeys([*WORDS, *(w for w in whole if len(w) >= LEAST_WORD and w.isascii() and w.isalpha())])
+    return {w: math.log2(i + 2) for i, w in enumerate(ranked)}, max(map(len, ranked))
 
 
 @lru_cache(maxsize=1)
@@ -93,58 +97,72 @@ def _runs(follows: list[bool]) -> list[int]:
     return out
 
 
-def guess_bits(value: str, enough: float = math.inf) -> float:
-    """log2 of the guesses for ``value``: the cheapest segmentation over all cuts; linear in its length.
+def brute_bits(value: str) -> list[float]:
+    """Bits of guessing each beginning of the value character by character."""
+    out = [0.0]
+    for c in value:
+        out.append(out[-1] + _char_bits(c) + (0.5 if c.isupper() else 0.0))
+    return out
 
-    Where that is ``enough`` or more, any number from ``enough`` up may be given instead.
-    """
+
+def patterns(value: str, vocabulary: str | None = None) -> Callable[[int], list[tuple[int, float]]]:
+    """``a -> [(b, bits)]``: the words, dates, repeats, sequences and walks that begin at ``a`` and end before ``b``."""
     low, n = value.lower(), len(value)
     leet = low.translate(LEET)
-    ranks, near = _ranks(), _neighbours()
-    best = [0.0] + [math.inf] * n
-
-    def offer(a: int, b: int, bits: float) -> None:
-        total = best[a] + bits + SEGMENT_BITS
-        if total < best[b]:
-            best[b] = total
-
-    brute = [0.0]
-    for c in value:
-        brute.append(brute[-1] + _char_bits(c) + (0.5 if c.isupper() else 0.0))
+    (ranks, longest), near = _ranks(vocabulary or tokenizer_path()), _neighbours()
+    brute = brute_bits(value)
     again = [_runs([low[i] == low[i + unit] for i in range(n - unit)]) + [0] * unit for unit in range(1, 5)]
     walks = _runs([low[i + 1] in near.get(low[i], ()) for i in range(n - 1)])
-    look = 32
-    for a in range(n):
-        if a == look:  # every segmentation has a first cut from here on
-            if (least := min(best[a:])) >= enough:
-                return least
-            look *= 2
-        # brute force runs on from the best start so far; a run of it pays one segment
-        for b in range(a + 1, min(n, a + LONGEST_SEGMENT) + 1):
-            offer(a, b, brute[b] - brute[a])
-            size = b - a
-            if size >= 3:
-                word = low[a:b]
-                bits = ranks.get(word)
-                if bits is None and leet[a:b] != word and (hit := ranks.get(leet[a:b])) is not None:
-                    bits = hit + 1
-                if bits is not None:
-                    cased = value[a:b]
-                    offer(a, b, bits + (0 if cased == word else 1 if cased in (word.upper(), word.capitalize()) else 2 + size / 2))
-            if size in (4, 6, 8, 10) and (date := _date_bits(value[a:b])) is not None:
-                offer(a, b, date)
+
+    def at(a: int) -> list[tuple[int, float]]:
+        out = []
+        for b in range(a + LEAST_WORD, min(n, a + longest) + 1):
+            word = low[a:b]
+            bits = ranks.get(word)
+            if bits is None and leet[a:b] != word and (hit := ranks.get(leet[a:b])) is not None:
+                bits = hit + 1
+            if bits is not None:
+                cased = value[a:b]
+                out.append((b, bits + (0 if cased == word else 1 if cased in (word.upper(), word.capitalize()) else 2 + (b - a) / 2)))
+        for size in (4, 6, 8, 10):
+            if a + size <= n and (date := _date_bits(value[a : a + size])) is not None:
+                out.append((a + size, date))
         for unit in range(1, 5):  # repeats of one to four characters
             times = 1 + again[unit - 1][a] // unit
             if times >= (3 if unit == 1 else 2):
-                offer(a, a + times * unit, brute[a + unit] - brute[a] + math.log2(times))
+                out.append((a + times * unit, brute[a + unit] - brute[a] + math.log2(times)))
         step, b = None, a + 1
         while b < n and low[b].isalnum() and (d := ord(low[b]) - ord(low[b - 1])) in (-1, 1) and step in (None, d):
             step, b = d, b + 1
         if b - a >= 3:
-            offer(a, b, _char_bits(low[a]) + math.log2(b - a) + 1)
-        turns = walks[a]
-        if turns >= 3:
-            offer(a, a + 1 + turns, math.log2(47) + turns * 1.5)
+            out.append((b, _char_bits(low[a]) + math.log2(b - a) + 1))
+        if a < n and walks[a] >= 3:
+            out.append((a + 1 + walks[a], math.log2(47) + walks[a] * 1.5))
+        return out
+
+    return at
+
+
+def guess_bits(value: str, enough: float = math.inf, vocabulary: str | None = None) -> float:
+    """log2 of the guesses for ``value``: the cheapest segmentation over all cuts; linear in its length.
+
+    Where that is ``enough`` or more, any number from ``enough`` up may be given instead.
+    """
+    n = len(value)
+    brute, begin = brute_bits(value), patterns(value, vocabulary)
+    best = [0.0] + [math.inf] * n
+    least_start = math.inf  # the least of best[a] - brute[a] so far: where the cheapest brute-force span begins
+    look = 32
+    for a in range(n + 1):
+        best[a] = min(best[a], least_start + brute[a] + SEGMENT_BITS)
+        if a == look:  # every segmentation has a cut from here on, or a brute-force span that reaches here
+            if (least := min(min(best[a:]), least_start + brute[a] + SEGMENT_BITS)) >= enough:
+                return least
+            look *= 2
+        least_start = min(least_start, best[a] - brute[a])
+        if a < n:
+            for b, bits in begin(a):
+                best[b] = min(best[b], best[a] + bits + SEGMENT_BITS)
     return best[n]
 
 

@@ -101,6 +101,36 @@ def test_guess_cost_is_the_least_over_all_cuts():
             assert best <= op4_secrets.guess_bits(value[:cut]) + op4_secrets.guess_bits(value[cut:]) + 1e-9
 
 
+def cheapest(value):
+    """The least cost over all segmentations, each tried in full."""
+    brute, begin = op4_secrets.brute_bits(value), op4_secrets.patterns(value)
+
+    def rest(a):
+        if a == len(value):
+            yield 0.0
+            return
+        pieces = begin(a) + [(b, brute[b] - brute[a]) for b in range(a + 1, len(value) + 1)]
+        for b, bits in pieces:
+            for tail in rest(b):
+                yield bits + op4_secrets.SEGMENT_BITS + tail
+
+    return min(rest(0))
+
+
+def test_guess_cost_equals_enumeration_of_all_segmentations():
+    r = random.Random(12)
+    values = ["password1", "abcqwe99x", "20190412z", "aaaaBBBB1", "p4ssw0rd!", "zxcvbnm12", "xkqjzvwpq", "Summer19x"]
+    values += ["".join(r.choice(["1", "a", "Q", "the", "99", "x", "$", "qwe", "2019"]) for _ in range(4))[:11] for _ in range(60)]
+    for value in values:
+        assert op4_secrets.guess_bits(value) == pytest.approx(cheapest(value))
+
+
+def test_brute_force_spans_have_any_length():
+    r = random.Random(13)
+    value = "".join(r.choice("bcdfghjklmnpqrstvwxz#!+") for _ in range(4000))
+    assert op4_secrets.guess_bits(value) <= op4_secrets.brute_bits(value)[-1] + op4_secrets.SEGMENT_BITS + 1e-6
+
+
 def test_added_secrets(spark):
     docs = table(spark, [(0, "pwd: kJ8#vN2$qwXz", "en", "s", 0), (1, "pwd: changeme", "en", "s", 0), (2, "the token of thinonation was", "en", "s", 0), (3, "password=abcdefgh1234", "en", "s", 0)])
     found = {r.doc_id: len(r.added) for r in op4_secrets.secrets(spark, docs).collect()}
