@@ -70,21 +70,73 @@ def _luhn(digits: Column) -> Column:
     return total % 10 == 0
 
 
-def _located(text: Column, matches: Column, pattern: str, kind: str) -> Column:
-    """Matches as ``array<struct<s, k, e, m>>`` in code points: what splits at the pattern is what lies between them."""
+def _running(values: str, combine: Callable[[Column, Column], Column], zero: int, block: int = 256) -> Column:
+    """Inclusive running values of a column of integers; in two levels, so that no long array is copied for each value.
+
+    ``values`` is the name of a column: an expression would be computed again for every block.
+    """
+    start = F.lit(zero)
+    bare = F.array().cast("array<int>")
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.greatest(F.size(values), F.lit(1)) - 1) / block).cast("int")), lambda j: F.slice(values, j * block + 1, block))
+
+    def extend(a: Column, at: Column, value: Column) -> Column:
+        return F.struct(at.alias("at"), F.concat(a["out"], F.array(value)).alias("out"))
+
+    totals = F.transform(blocks, lambda b: F.aggregate(b, start, combine))
+    earlier = F.aggregate(totals, F.struct(start.alias("at"), bare.alias("out")), lambda a, t: extend(a, combine(a["at"], t), a["at"]), lambda a: a["out"])
+    within = lambda b, z: F.aggregate(b, F.struct(z.alias("at"), bare.alias("out")), lambda a, v: extend(a, combine(a["at"], v), combine(a["at"], v)), lambda a: a["out"])
+    return F.when(F.size(values) > 0, F.flatten(F.zip_with(blocks, earlier, within))).otherwise(bare)
+
+
+def _matched(docs: DataFrame, to: str, kind: str, pattern: str, gate: Column) -> DataFrame:
+    """``docs(.., body)`` with the matches of a pattern as ``array<struct<s, k, e, m, b, a>>`` in code points.
+
+    What splits at the pattern is what lies between matches, so places are
+    running sums.  ``b`` is what comes before, up to REACH characters and not
+    past the match before, and ``a`` the character after.  Every step is a
+    column of its own, since an expression inside a lambda is computed for
+    each element.
+    """
+    body, none = F.col("body"), F.array().cast("array<string>")
+    m, p, i0 = F.col("_m"), F.col("_p"), F.size("_m")
+    docs = docs.withColumn("_m", F.when(gate, F.regexp_extract_all(body, F.lit(pattern), F.lit(0))).otherwise(none))
+    docs = docs.withColumn("_p", F.when(F.size("_m") > 0, F.split(body, pattern, -1)).otherwise(none))
+
+    def piece(i: Column) -> Column:
+        gap, own = F.get(p, i), F.get(m, i)
+        near = F.concat_ws("", F.right(F.get(p, i - 1), F.lit(REACH)), F.get(m, i - 1), F.right(gap, F.lit(REACH)))
+        after = F.concat_ws("", F.left(F.get(p, i + 1), F.lit(1)), F.left(F.get(m, i + 1), F.lit(1)))
+        return F.struct(F.length(gap).alias("g"), F.length(own).alias("n"), own.alias("m"), F.right(near, F.lit(REACH)).alias("b"), F.left(after, F.lit(1)).alias("a"))
+
+    empty = F.array().cast("array<struct<g:int,n:int,m:string,b:string,a:string>>")
+    docs = docs.withColumn("_z", F.when(i0 > 0, F.transform(F.sequence(F.lit(0), F.greatest(i0, F.lit(1)) - 1), piece)).otherwise(empty)).drop("_m", "_p")
+    docs = docs.withColumn("_v", F.transform("_z", lambda z: z["g"] + z["n"]))
+    docs = docs.withColumn("_e", _running("_v", lambda a, b: a + b, 0))
     k = F.lit(KINDS.index(kind))
-    empty = F.array().cast("array<struct<s:int,k:int,e:int,m:string>>")
-    gaps = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(matches))
-    placed = F.aggregate(
-        F.zip_with(gaps, matches, lambda g, m: F.struct(F.length(g).alias("g"), m.alias("m"))),
-        F.struct(F.lit(0).alias("at"), empty.alias("out")),
-        lambda a, x: F.struct(
-            (a["at"] + x["g"] + F.length(x["m"])).alias("at"),
-            F.concat(a["out"], F.array(F.struct((a["at"] + x["g"]).alias("s"), k.alias("k"), (a["at"] + x["g"] + F.length(x["m"])).alias("e"), x["m"].alias("m")))).alias("out"),
-        ),
-        lambda a: a["out"],
+    placed = F.zip_with("_z", "_e", lambda z, e: F.struct((e - z["n"]).alias("s"), k.alias("k"), e.alias("e"), z["m"].alias("m"), z["b"].alias("b"), z["a"].alias("a")))
+    return docs.withColumn(to, placed).drop("_z", "_v", "_e")
+
+
+def _clear(docs: DataFrame) -> DataFrame:
+    """``docs(.., base, cands)`` with ``fresh``: the candidates that overlap no base span, in order of start.
+
+    In order of start a candidate is hit by the furthest end of the base spans
+    up to it or by the next start of one after it.
+    """
+    both = F.concat(
+        F.transform("base", lambda b: F.struct(b["s"].alias("s"), F.lit(0).alias("c"), b["e"].alias("e"), F.lit(-1).alias("i"))),
+        F.transform("cands", lambda c, i: F.struct(c["s"].alias("s"), F.lit(1).alias("c"), c["e"].alias("e"), i.alias("i"))),
     )
-    return F.when(F.size(matches) > 0, placed).otherwise(empty)
+    far = (1 << 31) - 1
+    docs = docs.withColumn("_x", F.when((F.size("base") > 0) & (F.size("cands") > 0), F.array_sort(both)).otherwise(F.array().cast("array<struct<s:int,c:int,e:int,i:int>>")))
+    docs = docs.withColumn("_v", F.transform("_x", lambda x: F.when(x["c"] == 0, x["e"]).otherwise(F.lit(0))))
+    docs = docs.withColumn("_w", F.reverse(F.transform("_x", lambda x: F.when(x["c"] == 0, x["s"]).otherwise(F.lit(far)))))
+    docs = docs.withColumn("_until", _running("_v", lambda a, b: F.greatest(a, b), 0)).withColumn("_next", F.reverse(_running("_w", lambda a, b: F.least(a, b), far)))
+    docs = docs.withColumn("_y", F.arrays_zip(F.col("_x").alias("x"), F.col("_until").alias("u"), F.col("_next").alias("n")))
+    free = F.filter("_y", lambda y: (y["x"]["c"] == 1) & (y["u"] <= y["x"]["s"]) & (y["n"] >= y["x"]["e"]))
+    docs = docs.withColumn("_f", free).drop("_x", "_v", "_w", "_until", "_next", "_y")
+    fresh = F.when(F.size("base") == 0, F.col("cands")).otherwise(F.transform("_f", lambda y: F.get("cands", y["x"]["i"])))
+    return docs.withColumn("fresh", fresh).drop("_f")
 
 
 def _valid(kind: str) -> Callable[[Column], Column]:
@@ -104,11 +156,10 @@ def _count(text: Column, pattern: str) -> Column:
     return F.length(text) - F.length(F.regexp_replace(text, pattern, ""))
 
 
-def _features(text: Column, span: Column) -> Column:
+def _features(span: Column) -> Column:
     """Format and context of one candidate."""
-    m, s, e, k = span["m"], span["s"], span["e"], span["k"]
+    m, before, k = span["m"], span["b"], span["k"]
     digits = F.regexp_replace(m, "[^0-9]", "")
-    before = F.substring(text, F.greatest(s - REACH, F.lit(0)) + 1, F.least(s, F.lit(REACH)))
     hint = F.lit(False)
     for i, kind in enumerate(KINDS):
         hint = F.when(k == i, before.rlike(CONTEXT[kind])).otherwise(hint)
@@ -122,7 +173,7 @@ def _features(text: Column, span: Column) -> Column:
         number(_count(m, r"\x20")).alias("blanks"),
         number(F.when(F.length(digits).between(12, 19), _luhn(digits)).otherwise(F.lit(False)).cast("int")).alias("luhn"),
         number(before.rlike(r"[\p{L}\p{N}$€£#._:/-]$").cast("int")).alias("before"),
-        number(F.substring(text, e + 1, F.lit(1)).rlike(r"[\p{L}\p{N}%€°]").cast("int")).alias("after"),
+        number(span["a"].rlike(r"[\p{L}\p{N}%€°]").cast("int")).alias("after"),
         number(hint.cast("int")).alias("context"),
         number(before.rlike(AGAINST).cast("int")).alias("against"),
         number(m.rlike(r"^\(?0").cast("int")).alias("zero"),
@@ -132,12 +183,10 @@ def _features(text: Column, span: Column) -> Column:
 
 
 def _candidates(docs: DataFrame) -> DataFrame:
-    """``docs(.., body)`` with ``cands array<struct<s, k, e, m>>`` of all generators."""
-    body = F.col("body")
+    """``docs(.., body)`` with ``cands array<struct<s, k, e, m, b, a>>`` of all generators."""
     for kind in KINDS:
-        docs = docs.withColumn(f"_{kind}", F.when(body.rlike(GATES[kind]), F.regexp_extract_all(body, F.lit(GENERATORS[kind]), F.lit(0))).otherwise(F.array().cast("array<string>")))
-    spans = [_located(body, F.col(f"_{kind}"), GENERATORS[kind], kind) for kind in KINDS]
-    return docs.withColumn("cands", F.concat(*spans)).drop(*(f"_{kind}" for kind in KINDS))
+        docs = _matched(docs, f"_{kind}", kind, GENERATORS[kind], F.col("body").rlike(GATES[kind]))
+    return docs.withColumn("cands", F.concat(*(F.col(f"_{kind}") for kind in KINDS))).drop(*(f"_{kind}" for kind in KINDS))
 
 
 # ---- the model -------------------------------------------------------------------------------------------------
@@ -198,7 +247,7 @@ def _trained(rows: int, precision: float) -> tuple[Forest, tuple[float, ...], tu
     spark = SparkSession.active()
     sample = spark.createDataFrame([(i, t, y) for i, (t, y) in enumerate(training_sample(rows))], "i int, body string, y int")
     spans = _candidates(sample).select("i", "y", "body", F.explode("cands").alias("c"))
-    got = spans.select("i", "y", _features(F.col("body"), F.col("c")).alias("f")).orderBy("i", "f").collect()
+    got = spans.select("i", "y", _features(F.col("c")).alias("f")).orderBy("i", "f").collect()
     x = np.array([[g.f[name] for name in FEATURES] for g in got], float)
     y = np.array([g.y for g in got], float)
     split = np.array([g.i // 2 % 4 for g in got])  # two parts for the trees, one for the thresholds, one for the accuracy
@@ -224,21 +273,22 @@ def personal_data(spark: SparkSession, docs: DataFrame) -> DataFrame:
     ``base`` and ``added`` are ``array<struct<s, k, e, m>>``: code points, end
     exclusive, ``k`` the index in KINDS, ordered by start.  A null text is
     empty and has no span; each row is its own, repeated ones included; a null
-    ``doc_id`` is kept; other columns are ignored.  An added span never
+    ``doc_id`` is kept; a text of any length is one row, and the work grows with
+    its length and matches; an empty table gives no rows; other columns are ignored.  An added span never
     overlaps a base span, and of added spans that overlap the one
     with the higher score stays.
     """
     forest, cuts, _ = trained(spark)
     body = F.col("body")
     own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("body"))
-    gate = {"email": body.contains("@"), "phone": body.contains("+"), "ip": body.rlike(r"[0-9]\.[0-9]")}
+    gate = {"email": body.contains("@"), "phone": body.contains("+"), "ip": body.rlike(r"[0-9]\.[0-9]"), "card": F.lit(True)}
+    bare = lambda c: F.struct(c["s"].alias("s"), c["k"].alias("k"), c["e"].alias("e"), c["m"].alias("m"))
     for kind in KINDS:
-        found = F.regexp_extract_all(body, F.lit(BASE[kind]), F.lit(0))
-        own = own.withColumn(f"m_{kind}", F.when(gate[kind], found).otherwise(F.array().cast("array<string>")) if kind in gate else found)
-    base = F.concat(*(F.filter(_located(body, F.col(f"m_{kind}"), BASE[kind], kind), _valid(kind)) for kind in KINDS))
-    own = _candidates(own.withColumn("base", F.array_sort(base)).drop(*(f"m_{kind}" for kind in KINDS)))
-    fresh = F.filter("cands", lambda c: ~F.exists("base", lambda b: (b["s"] < c["e"]) & (c["s"] < b["e"])))
-    seen = F.transform(fresh, lambda c: F.struct(c["s"].alias("s"), c["k"].alias("k"), c["e"].alias("e"), c["m"].alias("m"), _features(body, c).alias("f")))
+        own = _matched(own, f"_base_{kind}", kind, BASE[kind], gate[kind])
+    base = F.concat(*(F.transform(F.filter(f"_base_{kind}", _valid(kind)), bare) for kind in KINDS))
+    own = own.withColumn("base", F.array_sort(base)).drop(*(f"_base_{kind}" for kind in KINDS))
+    own = _clear(_candidates(own))
+    seen = F.transform("fresh", lambda c: F.struct(c["s"].alias("s"), c["k"].alias("k"), c["e"].alias("e"), c["m"].alias("m"), _features(c).alias("f")))
     own = own.withColumn("seen", seen)
     cut = lambda k: F.element_at(F.array(*map(F.lit, cuts)), k + 1)
     scored = F.transform("seen", lambda c: F.struct(c["s"].alias("s"), c["k"].alias("k"), c["e"].alias("e"), c["m"].alias("m"), forest.column(lambda n: c["f"][n]).alias("score")))
@@ -251,8 +301,7 @@ def personal_data(spark: SparkSession, docs: DataFrame) -> DataFrame:
         return F.when(clear, F.concat(a, F.array(c))).when(last["score"] < c["score"], F.concat(F.slice(a, F.lit(1), F.size(a) - 1), F.array(c))).otherwise(a)
 
     chosen = F.aggregate("scored", empty, pick)
-    bare = F.transform(chosen, lambda c: F.struct(c["s"].alias("s"), c["k"].alias("k"), c["e"].alias("e"), c["m"].alias("m")))
-    return own.select("doc_id", F.col("body").alias("text"), "base", bare.alias("added"))
+    return own.select("doc_id", F.col("body").alias("text"), "base", F.transform(chosen, bare).alias("added"))
 
 
 def redact(spark: SparkSession, docs: DataFrame) -> DataFrame:

@@ -218,8 +218,8 @@ def secrets(spark: SparkSession, docs: DataFrame, threshold: float = THRESHOLD_B
 
     ``k`` is the index in KINDS; added spans are of the kind ``assign`` and
     never overlap a base span.  A null text is empty; every row is scanned
-    whole and alone, so repeated rows and null ids need no care; other columns
-    are ignored.
+    whole and alone, so repeated rows, ties, null ids and very long texts need no
+    care; an empty table gives no rows; other columns are ignored.
     """
     spans = pa.list_(pa.struct([("s", pa.int32()), ("k", pa.int32()), ("e", pa.int32())]))
 

@@ -101,6 +101,20 @@ def test_guess_cost_is_the_least_over_all_cuts():
             assert best <= op4_secrets.guess_bits(value[:cut]) + op4_secrets.guess_bits(value[cut:]) + 1e-9
 
 
+def test_many_matches_of_one_text(spark):
+    """More matches than a block of running sums has, and nulls of doc_id with their exact spans."""
+    text = " ".join(f"é ab{i}@x.org 555-{i % 900 + 100}-{1000 + i}" if i % 2 else f"host 10.1.{i % 256}.7" for i in range(1500))
+    (row,) = op1_pii.personal_data(spark, spark.createDataFrame([(None, text)], "doc_id bigint, text string")).collect()
+    want = sorted((m.start(), k, m.end()) for k, kind in enumerate(("email", "ip")) for m in re.finditer(PII[kind], text))
+    assert row.doc_id is None and [(x.s, x.k, x.e) for x in row.base] == want
+    assert [(x.s, x.e) for x in row.added] == [m.span() for m in re.finditer(r"555-[0-9]+-[0-9]+", text)]
+    assert all(x.m == text[x.s : x.e] for x in row.added)
+
+
+def test_empty_tables(spark):
+    assert op1_pii.personal_data(spark, empty(spark)).count() == 0 and op4_secrets.secrets(spark, empty(spark)).count() == 0
+
+
 def cheapest(value):
     """The least cost over all segmentations, each tried in full."""
     brute, begin = op4_secrets.brute_bits(value), op4_secrets.patterns(value)
