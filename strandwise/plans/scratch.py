@@ -12,9 +12,20 @@ from pyspark.sql import DataFrame, SparkSession
 _SWEPT: set[str] = set()
 
 
+def _shared(spark: SparkSession) -> str:
+    """The folder of the setting or of ``setCheckpointDir``; in local mode one of its own where neither is."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if root is None:
+        if spark.sparkContext.master.partition("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = f"file://{tempfile.mkdtemp(prefix='strandwise-')}"
+        spark.sparkContext.setCheckpointDir(root)
+    return root.rstrip("/")
+
+
 def scratch_folder(spark: SparkSession, label: str) -> str:
-    """A path below ``spark.checkpoint.dir`` that nothing else uses; the session's are removed when the driver ends."""
-    root = (spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()).rstrip("/")
+    """A path below the shared folder that nothing else uses; the session's are removed when the driver ends."""
+    root = _shared(spark)
     own = f"{root}/{spark.sparkContext.applicationId}/engine"
     if own not in _SWEPT:
         _SWEPT.add(own)
@@ -30,7 +41,7 @@ def _remove(system, path) -> None:
 
 
 def materialise(spark: SparkSession, df: DataFrame) -> DataFrame:
-    """A reliable checkpoint of ``df`` in ``spark.checkpoint.dir``; tests without one get a folder of their own."""
+    """A reliable checkpoint of ``df`` in the shared folder."""
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="strandwise-"))
+        spark.sparkContext.setCheckpointDir(_shared(spark))
     return df.checkpoint()
