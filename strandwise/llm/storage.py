@@ -22,12 +22,16 @@ _SWEPT: set[str] = set()
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The shared folder of the session; one of its own only where none is set."""
+    """The shared folder of the session, by setting or by call; in local mode one of its own where none is set."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
     app = spark.sparkContext.applicationId
     if app not in _ROOTS:
+        if own := spark.sparkContext.getCheckpointDir():
+            return own.rstrip("/")
+        if spark.sparkContext.master.partition("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         _ROOTS[app] = tempfile.mkdtemp(prefix="strandwise-")
         atexit.register(shutil.rmtree, _ROOTS[app], ignore_errors=True)
         spark.sparkContext.setCheckpointDir(f"file://{_ROOTS[app]}")
