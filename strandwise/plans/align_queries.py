@@ -14,7 +14,7 @@ from strandwise.operators.grouped import per_group
 from strandwise.operators.overlaps import Standing
 from strandwise.plans.registry import FIXTURES, fixture, query
 from strandwise.plans.scratch import scratch_folder
-from strandwise.plans.search_queries import _KM, tables
+from strandwise.plans.search_queries import _KM, matches, tables
 from strandwise.plans.search_queries import K as SEED
 from strandwise.sources import sam
 
@@ -77,8 +77,8 @@ def md_nm(spark, d):
 
 
 def _seed_rows(spark, d):
-    seqs, kmers, reads = tables(spark, d)
-    mems = seeds.maximal_matches(reads, kmers, SEED)
+    seqs, _, reads = tables(spark, d)
+    mems = matches(spark, d)
     places = seeds.occurrences(mems, seeds.super_maximal(mems), A.MemOptions().max_occ)
     return A.seed_rows(reads, seqs, places, 220)
 

@@ -45,3 +45,10 @@ def materialise(spark: SparkSession, df: DataFrame) -> DataFrame:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(_shared(spark))
     return df.checkpoint()
+
+
+def written(spark: SparkSession, df: DataFrame, label: str) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder: computed once, its real size known to the planner."""
+    folder = scratch_folder(spark, label)
+    df.write.parquet(folder)
+    return spark.read.schema(df.schema).parquet(folder)

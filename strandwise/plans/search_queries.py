@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 import strandwise.plans.fixtures  # noqa: F401  (defines the derived tables)
-from strandwise.operators import index, intervals, seeds
-from strandwise.plans.registry import FIXTURES, fixture, query
+from strandwise.operators import index, intervals, seeds, stored
+from strandwise.plans.registry import FIXTURES, fixture, query, table_state
+from strandwise.plans.scratch import scratch_folder, written
 
 K = 19
 
@@ -15,9 +16,29 @@ FIXTURES["dna_n"] = "SELECT doc_id, concat(substring(seq, 1, CAST(floor(length(s
 
 
 def tables(spark, d, reads="reads"):
-    """Contigs with sequence, their k-mers, and reads."""
-    seqs = index.sequences(fixture(spark, d, "dna"))
-    return seqs, index.kmers(seqs, K), fixture(spark, d, reads)
+    """Contigs with sequence and their k-mers, from the session's stored index, and reads."""
+    held = session_index(spark, d)
+    return held.seqs, held.kmers, fixture(spark, d, reads)
+
+
+def matches(spark, d, reads="reads"):
+    """Maximal matches of the reads, written once for the operators that read them several times."""
+    _, kmers, rows = tables(spark, d, reads)
+    return written(spark, seeds.maximal_matches(rows, kmers, K), "matches")
+
+
+def session_index(spark, d):
+    """The index of all documents below ``d``: built once a session, and again if the table was written since."""
+    state = table_state(spark, f"{d}/documents.parquet")
+    key = spark.sparkContext.applicationId, d
+    if key not in _BUILT or _BUILT[key][0] != state:
+        folder = scratch_folder(spark, "index")
+        stored.build_index(spark, fixture(spark, d, "dna"), folder, K)
+        _BUILT[key] = state, folder
+    return stored.load_index(spark, _BUILT[key][1])
+
+
+_BUILT: dict = {}
 
 
 #: The k-mer join and its diagonals, in DuckDB.
@@ -47,7 +68,24 @@ def idx_holes(spark, d):
 @query("idx_kmers", f"WITH {_KM} SELECT strand, kmer, count(*) AS n, CAST(min(gpos) AS BIGINT) AS first_gpos FROM km GROUP BY strand, kmer")
 def idx_kmers(spark, d):
     _, kmers, _ = tables(spark, d)
-    return index.both_strands(kmers, K).groupBy("strand", F.col("kmer").cast("string").alias("kmer")).agg(F.count("*").alias("n"), F.min("gpos").alias("first_gpos"))
+    return index.both_strands(kmers, K).groupBy("strand", "kmer").agg(F.count("*").alias("n"), F.min("gpos").alias("first_gpos"))
+
+
+@query("index_build", f"SELECT {K} AS k, count(*) AS contigs, CAST(sum(length(seq)) AS BIGINT) AS l_pac, CAST(sum(greatest(length(seq) - {K - 1}, 0)) AS BIGINT) AS kmers FROM {{dna}}")
+def index_build(spark, d):
+    """A stored index of all documents, built anew and read back; the session's searches use it from here on."""
+    _BUILT.pop((spark.sparkContext.applicationId, d), None)
+    held = session_index(spark, d)
+    return held.seqs.agg(F.lit(held.k).alias("k"), F.count("*").alias("contigs"), F.sum("len").alias("l_pac")).crossJoin(held.kmers.agg(F.count("*").alias("kmers")))  # one row each
+
+
+@query("index_load", f"WITH {_KM}, n AS (SELECT rid, count(*) AS n_kmers, min(kmer) AS first_kmer FROM km WHERE strand = 0 GROUP BY rid) SELECT rid, doc_id AS name, offset_ AS \"offset\", len, coalesce(n_kmers, 0) AS n_kmers, first_kmer FROM {{contigs}} LEFT JOIN n USING (rid)")
+def index_load(spark, d):
+    """What the stored index holds for each contig."""
+    held = session_index(spark, d)
+    counts = held.kmers.groupBy("rid").agg(F.count("*").alias("n_kmers"), F.min("kmer").alias("least"))
+    out = held.seqs.join(counts, "rid", "left")
+    return out.select("rid", F.col("doc_id").alias("name"), "offset", "len", F.coalesce("n_kmers", F.lit(0)).alias("n_kmers"), index.unpacked(F.col("least"), K).alias("first_kmer"))
 
 
 _ITEM = "SELECT item_id AS doc_id, seq FROM (SELECT item_id, translate(regexp_replace(lower(text), '[^a-z]', ''<g>), 'abcdefghijklmnopqrstuvwxyz', 'acgtacgtacgtacgtacgtacgtac') AS seq FROM {benchmark}) AS x"
@@ -73,8 +111,7 @@ def smem(spark, d):
 
 @query("fastmap", f"WITH {_MEM} SELECT read_id, qb, qe, n_occ, string_agg(rid || ':' || strand || ':' || CAST(gpos AS BIGINT), ' ' ORDER BY gpos) AS places FROM smem JOIN mem USING (read_id, qb, qe) WHERE n_occ <= 20 GROUP BY ALL UNION ALL SELECT read_id, qb, qe, n_occ, '*' FROM smem WHERE n_occ > 20")
 def fastmap(spark, d):
-    _, kmers, reads = tables(spark, d)
-    mems = seeds.maximal_matches(reads, kmers, K)
+    mems = matches(spark, d)
     spans = seeds.super_maximal(mems)
     named = F.struct("gpos", F.concat_ws(":", "rid", "strand", "gpos").alias("text"))
     few = mems.join(spans.where("n_occ <= 20"), ["read_id", "qb", "qe"]).groupBy("read_id", "qb", "qe", "n_occ").agg(F.array_sort(F.collect_list(named)).alias("at"))
@@ -97,23 +134,20 @@ SELECT * FROM ct a WHERE NOT EXISTS (SELECT 1 FROM ct b WHERE b.read_id = a.read
 
 @query("reseed", _RESEED)
 def reseed(spark, d):
-    _, kmers, reads = tables(spark, d)
-    mems = seeds.maximal_matches(reads, kmers, K)
+    mems = matches(spark, d)
     at = seeds.super_maximal(mems).where("qe - qb >= 28 and n_occ <= 10").select("read_id", F.expr("(qb + qe) div 2 mid"), F.expr("n_occ + 1 min_occ")).distinct()
     return seeds.at_least_occurring(mems, at)
 
 
 @query("seed_hits", f"WITH {_MEM}, o AS (SELECT *, row_number() OVER (PARTITION BY read_id, qb, qe ORDER BY gpos) - 1 AS nth, CASE WHEN n_occ > 3 THEN n_occ // 3 ELSE 1 END AS step FROM mem JOIN smem USING (read_id, qb, qe)) SELECT read_id, qb, qe, n_occ, rid, strand, CAST(gpos AS BIGINT) AS gpos FROM o WHERE nth % step = 0 AND nth // step < 3")
 def seed_hits(spark, d):
-    _, kmers, reads = tables(spark, d)
-    mems = seeds.maximal_matches(reads, kmers, K)
+    mems = matches(spark, d)
     return seeds.occurrences(mems, seeds.super_maximal(mems), 3).select("read_id", "qb", "qe", "n_occ", "rid", "strand", "gpos")
 
 
 @query("seeds_union", f"WITH {_MEM} SELECT pass, read_id, qb, qe, n_occ FROM (SELECT 1 AS pass, read_id, qb, qe, n_occ FROM smem UNION ALL SELECT 2, read_id, qb, qe, n_occ FROM ({_RESEED.replace('WITH ' + _MEM + ', ', 'WITH ')})) WHERE qe - qb >= {K}")
 def seeds_union(spark, d):
-    _, kmers, reads = tables(spark, d)
-    mems = seeds.maximal_matches(reads.where(F.length("seq") >= K), kmers, K)
+    mems = matches(spark, d)
     first = seeds.super_maximal(mems)
     at = first.where("qe - qb >= 28 and n_occ <= 10").select("read_id", F.expr("(qb + qe) div 2 mid"), F.expr("n_occ + 1 min_occ")).distinct()
     second = seeds.at_least_occurring(mems, at).select("read_id", "qb", "qe", "n_occ")
