@@ -247,10 +247,10 @@ def stream_isize(spark, d):
     source, out, state = (scratch_folder(spark, f"stream-{x}") for x in ("in", "out", "state"))
     ends = P.unique_pairs(fixture(spark, d, "ends")).select("pair_id", "orient", "dist")
     ends.repartitionByRange(3, "pair_id").write.parquet(source)
-    carried = CarriedStats()
+    carried = CarriedStats(scratch_folder(spark, "stream-sizes"))
 
     def work(batch, number):
-        rows = carried.update(P.insert_stats(batch, []))
+        rows = carried.update(P.insert_stats(batch, []), number)
         return spark.createDataFrame([(number, *r) for r in rows], "batch_no bigint, orient int, low int, high int, avg double, std double")
 
     stream = spark.readStream.schema("pair_id bigint, orient int, dist bigint").option("maxFilesPerTrigger", 1).parquet(source)

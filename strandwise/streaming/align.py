@@ -22,14 +22,27 @@ def run_batches(stream: DataFrame, work: Callable[[DataFrame, int], DataFrame],
     return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+STATE = "orient int, low int, high int, avg double, std double"
+
+
 class CarriedStats:
-    """Insert-size statistics per batch; an orientation that fails in one keeps what it had."""
+    """Insert-size statistics per batch; an orientation that fails in one keeps what it had.
+
+    The state after each batch is a table of its own below ``folder``, which
+    belongs with the stream's checkpoint: a stream that is started again goes
+    on from it, and a batch that is run again reads what it read before.
+    """
 
-    def __init__(self) -> None:
-        self.latest: dict[int, tuple] = {}
+    def __init__(self, folder: str) -> None:
+        self._folder = folder
 
-    def update(self, stats: DataFrame) -> list[tuple]:
-        """Statistics to use for the batch: four orientations at most reach the driver."""
+    def update(self, stats: DataFrame, number: int) -> list[tuple]:
+        """Statistics to use for the batch of this number: four orientations at most reach the driver."""
+        spark = stats.sparkSession
+        before = spark.read.schema(STATE).parquet(f"{self._folder}/batch={number - 1}").collect() if number else []
+        latest = {r.orient: tuple(r) for r in before}
         for r in stats.where(~F.col("failed")).collect():
-            self.latest[r.orient] = (r.orient, r.low, r.high, r.avg, r.std)
-        return [self.latest[o] for o in sorted(self.latest)]
+            latest[r.orient] = (r.orient, r.low, r.high, r.avg, r.std)
+        rows = [latest[o] for o in sorted(latest)]
+        spark.createDataFrame(rows, STATE).coalesce(1).write.mode("overwrite").parquet(f"{self._folder}/batch={number}")
+        return rows
