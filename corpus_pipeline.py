@@ -26,8 +26,11 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the first by id, of each group of near-duplicates: five-word shingles, similarity 0.8 or more."""
-    return keep_one(spark, docs, shingle=5, similarity=0.8)
+    """One document, the first by id, of each group of near-duplicates: five-word shingles, similarity 0.8 or more.
+
+    Fingerprints at two bits or fewer meet by the covering code of ``op5_simhash``; shingles decide those pairs and the rest.
+    """
+    return keep_one(spark, docs, shingle=5, similarity=0.8, bits=2)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

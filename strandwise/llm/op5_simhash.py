@@ -37,17 +37,18 @@ BLOCKS = ((0, 23, GOLAY), (23, 23, GOLAY), (46, 15, HAMMING))
 PAIRWISE = 2048
 
 
-def fingerprint(text: str | None, shingle: int) -> int:
-    """The 64-bit fingerprint of one text as an unsigned number; no word gives zero."""
+def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
+    """The hashes of the word shingles of a text in order, repeats included; fewer words are one shingle, none has none."""
     words = text.encode().lower().split() if text else []
-    if not words:
-        return 0
     flat = b" ".join(words)
-    if len(words) <= shingle:
-        return xxhash.xxh64_intdigest(flat, SEED)
     at = list(itertools.accumulate((len(w) + 1 for w in words), initial=0))
+    ends = at[shingle:] if len(words) > shingle else at[-1:] if words else []
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(flat[a : b - 1], SEED) for a, b in zip(at, at[shingle:])), np.uint64, len(words) - shingle + 1)
+    return np.fromiter((digest(flat[a : b - 1], SEED) for a, b in zip(at, ends)), np.uint64, len(ends))
+
+
+def simhash(hashes: np.ndarray) -> int:
+    """The 64-bit fingerprint of the hashes: a bit is 1 if set in over half of them; none gives zero."""
     ones = np.zeros(64, np.int64)
     for i in range(0, len(hashes), 1 << 15):  # bounded memory for very long texts
         octets = hashes[i : i + (1 << 15)].astype("<u8").view(np.uint8).reshape(-1, 8)
@@ -55,6 +56,11 @@ def fingerprint(text: str | None, shingle: int) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
 
 
+def fingerprint(text: str | None, shingle: int) -> int:
+    """The 64-bit fingerprint of one text as an unsigned number; no word gives zero."""
+    return simhash(shingle_hashes(text, shingle))
+
+
 def fingerprints(spark: SparkSession, docs: DataFrame, shingle: int) -> DataFrame:
     """``(doc_id, fp)`` of ``docs(doc_id, text)``, ``fp`` as a signed bigint."""
 
@@ -263,14 +269,14 @@ HELD_PAIRS = 1 << 20
 NEIGHBOURS = 512
 
 
+def as_set(hashes: np.ndarray) -> np.ndarray:
+    """The distinct hashes in order; a text without words has the hash of the empty one."""
+    return np.unique(hashes) if len(hashes) else np.array([xxhash.xxh64_intdigest(b"", SEED)], np.uint64)
+
+
 def shingle_set(text: str | None, shingle: int) -> np.ndarray:
     """The distinct hashes of the word shingles of a text, in order; a text of fewer words is one shingle."""
-    words = text.encode().lower().split() if text else []
-    flat = b" ".join(words)
-    at = list(itertools.accumulate((len(w) + 1 for w in words), initial=0))
-    ends = at[shingle:] if len(words) > shingle else [len(flat) + 1]
-    digest = xxhash.xxh64_intdigest
-    return np.unique(np.fromiter((digest(flat[a : b - 1], SEED) for a, b in zip(at, ends)), np.uint64, len(ends)))
+    return as_set(shingle_hashes(text, shingle))
 
 
 def parities(hashes: np.ndarray, bits: int) -> np.ndarray:
@@ -450,6 +456,24 @@ def _in_runs(found: Callable) -> Callable:
     return run
 
 
+def _covering_pairs(spark: SparkSession, nodes: DataFrame, bits: int) -> DataFrame:
+    """Pairs ``(a, b)``, a first, that connect the ``nodes(node, fp)`` whose fingerprints link at ``bits``.
+
+    A node may have several fingerprints, as texts of one set repeat its
+    shingles differently.  Nodes of one fingerprint are paired with the first of them, and the first
+    ones as :func:`near_links` links their fingerprints, so a group of m nodes
+    makes O(m) pairs.
+    """
+    own = nodes.select("node", "fp").distinct()
+    reps = write_table(spark, own.groupBy("fp").agg(F.min("node").alias("rep")), "distinct-fingerprints")
+    rep = lambda c, r: reps.select(F.col("fp").alias(c), F.col("rep").alias(r))
+    near = near_links(reps, bits).distinct().join(rep("a", "ra"), "a").join(rep("b", "rb"), "b").where("ra <> rb")
+    equal = own.join(reps, "fp").where("node <> rep").select(F.col("rep").alias("a"), F.col("node").alias("b"))
+    pairs = write_table(spark, near.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).union(equal).distinct(), "covering-pairs")
+    drop_table(spark, reps)
+    return pairs
+
+
 def _shared_anchors(spark: SparkSession, prefixes: DataFrame) -> DataFrame:
     """``(anchor, node, size, place)`` of ``prefixes(prefix, node, size)`` where an anchor has two nodes or more."""
     columns, schema = ["anchor", "node", "size", "place"], "anchor bigint, node bigint, size int, place int"
@@ -532,17 +556,21 @@ def _alike(spark: SparkSession, docs: DataFrame, nodes: DataFrame, pairs: DataFr
     return found
 
 
-def similar_groups(spark: SparkSession, docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+def similar_groups(spark: SparkSession, docs: DataFrame, shingle: int = 5, similarity: float = 0.8, bits: int = 2) -> DataFrame:
     """``(doc_id, key, node)`` of ``docs(doc_id, text)``: rows with the same ``node`` are near-duplicates.
 
     Two texts are linked if the Jaccard similarity of their sets of word
-    shingles is ``similarity`` or more.  Of two such sets of any sizes the
-    prefixes (:func:`prefix_of`) share a hash, so a text is sent to each hash
-    of its prefix, and texts that meet are candidates unless the sizes, the
-    places or the parities rule them out; none of these refuses a pair that is
-    that similar.  The sets themselves decide candidates: first the nearest one
-    of each row at each hash, which settles dense groups with few pairs, and
-    then every candidate whose ends are still apart.  ``key`` is a hash of the
+    shingles is ``similarity`` or more.  Their fingerprints meet at the anchors
+    of the covering code and are compared there, and what links at ``bits`` or
+    fewer differing bits are candidates.  A pair that similar may differ in
+    more bits than any covering of useful size reaches, so an exact way follows
+    for the rest: of two such sets of any sizes the prefixes (:func:`prefix_of`)
+    share a hash, a text is sent to each hash of its prefix, and texts that meet
+    are candidates unless the sizes, the places or the parities rule them out;
+    none of these refuses a pair that is that similar.  The sets themselves
+    decide candidates: first those of the covering and the nearest one of each
+    row at each hash, which settle dense groups with few pairs, and then every
+    candidate whose ends are still apart.  ``key`` is a hash of the
     text.  Blank texts are one group; repeated rows share a group; a null
     ``doc_id`` is a value like any other; a text of any length is one row; an
     empty table gives no rows; other columns are ignored.
@@ -552,14 +580,19 @@ def similar_groups(spark: SparkSession, docs: DataFrame, shingle: int = 5, simil
 
     def hashed(batches):
         for batch in batches:
-            found = [shingle_set(t, shingle) for t in batch.column(2).to_pylist()]
+            found, fps = [], []
+            for text in batch.column(2).to_pylist():
+                hashes = shingle_hashes(text, shingle)
+                fps.append(simhash(hashes))
+                found.append(as_set(hashes))
             nodes = np.array([xxhash.xxh64_intdigest(h.tobytes(), SEED) for h in found], np.uint64).view(np.int64)
             ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
             flat = pa.array(np.concatenate([np.zeros(0, np.uint64), *found]).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(nodes), pa.ListArray.from_arrays(pa.array(ends), flat)], ["doc_id", "key", "node", "hashes"])
+            prints = pa.array(np.array(fps, np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(nodes), prints, pa.ListArray.from_arrays(pa.array(ends), flat)], ["doc_id", "key", "node", "fp", "hashes"])
 
     own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("key"), "text")
-    sets = write_table(spark, own.mapInArrow(hashed, "doc_id bigint, key bigint, node bigint, hashes array<bigint>"), "shingle-sets")
+    sets = write_table(spark, own.mapInArrow(hashed, "doc_id bigint, key bigint, node bigint, fp bigint, hashes array<bigint>"), "shingle-sets")
     rarity = frequency_classes(spark, sets)
 
     def prints(batches):
@@ -573,8 +606,9 @@ def similar_groups(spark: SparkSession, docs: DataFrame, shingle: int = 5, simil
 
     schema = f"node bigint, size int, parity binary, prefix array<bigint>, {', '.join(f'{w} bigint' for w in names)}"
     distinct = write_table(spark, sets.select("node", "hashes").mapInArrow(prints, schema).dropDuplicates(["node"]), "sketches")
-    nodes = write_table(spark, sets.select("doc_id", "key", "node"), "nodes")
+    nodes = write_table(spark, sets.select("doc_id", "key", "node", "fp"), "nodes")
     drop_table(spark, sets)  # few texts are looked at again
+    covered = _covering_pairs(spark, nodes, bits)
     shared = _shared_anchors(spark, distinct)
 
     def met(at, take):
@@ -584,7 +618,7 @@ def similar_groups(spark: SparkSession, docs: DataFrame, shingle: int = 5, simil
 
     wide = distinct.select("node", *names)
     found = write_table(spark, met(shared.join(wide, "node").withColumn("root", F.col("node")), _Group.nearest), "near-pairs")
-    first = found.where("a is not null").select("a", "b")
+    first = covered.union(found.where("a is not null").select("a", "b")).distinct()
     linked = connected_components(spark, _alike(spark, docs, nodes, first, distinct, shingle, similarity))
 
     # what was not offered and is still apart; anchors where each row had one candidate are done
@@ -598,12 +632,12 @@ def similar_groups(spark: SparkSession, docs: DataFrame, shingle: int = 5, simil
     more = connected_components(spark, apart)
     own_root = nodes.join(linked, "node", "left").select("doc_id", "key", F.coalesce("root", "node").alias("node"))
     groups = write_table(spark, own_root.join(more, "node", "left").select("doc_id", "key", F.coalesce("root", "node").alias("node")), "groups")
-    for table in (nodes, distinct, found, second, alike):
+    for table in (nodes, distinct, covered, found, second, alike):
         drop_table(spark, table)
     return groups
 
 
-def keep_one(spark: SparkSession, docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+def keep_one(spark: SparkSession, docs: DataFrame, shingle: int = 5, similarity: float = 0.8, bits: int = 2) -> DataFrame:
     """The row of ``docs(doc_id, text, ..)`` with the smallest ``doc_id`` of each group, nulls last; one of repeated rows.
 
     Rows that agree in ``doc_id`` and text are repeated rows whatever else they
@@ -611,7 +645,7 @@ def keep_one(spark: SparkSession, docs: DataFrame, shingle: int = 5, similarity:
     whole; columns may have any names; an empty table gives no rows.  Only
     texts that others are equal or similar to are moved.
     """
-    groups = similar_groups(spark, docs, shingle, similarity)
+    groups = similar_groups(spark, docs, shingle, similarity, bits)
     own = groups.select(F.col("doc_id").isNull().alias("_no"), F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("key").alias("_key"), "node")
     same = write_table(spark, own.groupBy("_no", "_id", "_key").agg(F.min("node").alias("node"), F.count("*").alias("n")), "rows")
     first = same.groupBy("node").agg(F.min(F.struct("_no", "_id", "_key")).alias("o"))

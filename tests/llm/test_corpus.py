@@ -169,6 +169,39 @@ def test_similar_groups_drop_no_candidate_of_a_crowd(spark, monkeypatch):
     assert_groups(spark, rows)
 
 
+def scattered_edits():
+    """Texts of 2,000 words and copies of each with one word edited, alone or repeated, and one unrelated text each."""
+    rows = []
+    for g in range(30):
+        body = prose(7000 + g, 2000).split()
+        for k in range(4):
+            own = body[: 400 * k] + ["edited"] * (k > 0) + body[400 * k + (k > 0) :]
+            rows.append((len(rows), " ".join(own), "en", "s0", 0))
+        rows.append((len(rows), " ".join(body + body), "en", "s0", 0))  # nearly the same set, another fingerprint or the same
+        rows.append((len(rows), prose(8000 + g, 300), "en", "s0", 0))
+    return rows
+
+
+def test_similar_groups_join_what_the_covering_meets(spark, monkeypatch):
+    """Without any pair from the prefixes, exactly the near pairs of fingerprints that are similar too are joined."""
+    none = "anchor bigint, node bigint, size int, place int"
+    monkeypatch.setattr(op5_simhash, "_shared_anchors", lambda s, _: op5_simhash.write_table(s, s.createDataFrame([], none), "shared-anchors"))
+    rows = scattered_edits()
+    fps = np.array([plain_fingerprint(r[1], 5) for r in rows], np.uint64)
+    near = [(i, j) for j in range(len(rows)) for i in range(j) if int(fps[i] ^ fps[j]).bit_count() <= 2]
+    sets = [set(op5_simhash.shingle_set(r[1], 5).tolist()) for r in rows]
+    alike = [(i, j) for i, j in near if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    assert len(near) == len(alike) > 30  # so no refused link stands between two that are joined
+    got = {r.doc_id: r.node for r in op5_simhash.similar_groups(spark, table(spark, rows)).collect()}
+    root = roots_of(len(rows), alike)
+    assert len(set(zip(root, (got[r[0]] for r in rows), strict=True))) == len(set(root)) == len(set(got.values()))
+
+
+def test_covering_pairs_are_part_of_the_groups(spark):
+    """The exact way adds what the covering does not meet."""
+    assert_groups(spark, scattered_edits())
+
+
 # ---- sharding ----
 
 

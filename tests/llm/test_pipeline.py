@@ -4,6 +4,7 @@ import pytest
 
 from helpers import empty, table
 
+op5_simhash = pytest.importorskip("strandwise.llm.op5_simhash")
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
 
@@ -35,3 +36,11 @@ def test_stages_take_awkward_rows(spark, sf_dir, k):
     docs = table(spark)
     assert stage(spark, docs, sf_dir).count() <= 4 * docs.count()
     assert stage(spark, empty(spark), sf_dir).count() == 0
+
+
+def test_near_dedup_compares_by_the_covering(spark, sf_dir, monkeypatch):
+    met = []
+    monkeypatch.setattr(op5_simhash, "near_links", lambda reps, bits, real=op5_simhash.near_links: met.append((reps.count(), bits)) or real(reps, bits))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    corpus_pipeline.near_dedup(spark, docs, sf_dir).count()
+    assert met == [(len({op5_simhash.fingerprint(r.text, 5) for r in docs.collect()}), 2)]
