@@ -28,6 +28,7 @@ from strandwise.llm.bloom import hash_filter
 from strandwise.llm.components import connected_components
 from strandwise.llm.storage import drop_table, write_table
 from strandwise.llm.tokenize import bounded_batches
+from strandwise.llm.workers import lean
 
 SEED = 42
 #: Generator polynomial x^11+x^9+x^7+x^6+x^5+x+1 of the binary Golay code, x^4+x+1 of the Hamming code.
@@ -343,8 +344,8 @@ def frequency_classes(spark: SparkSession, sets: DataFrame) -> np.ndarray:
         classes = [np.round(1024 * np.log2(1.0 + x)).astype("<u2").tobytes() for x in sums.values()]
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array(classes, pa.binary())], ["block", "classes"])
 
-    partial = sets.select("hashes").mapInArrow(count, "block bigint, counts array<bigint>")
-    found = partial.repartition(COUNTERS // COUNTER_BLOCK, "block").mapInArrow(merge, "block bigint, classes binary").collect()
+    partial = sets.select("hashes").mapInArrow(lean(count), "block bigint, counts array<bigint>")
+    found = partial.repartition(COUNTERS // COUNTER_BLOCK, "block").mapInArrow(lean(merge), "block bigint, classes binary").collect()
     return np.frombuffer(b"".join(bytes(r.classes) for r in sorted(found)), "<u2") if found else np.zeros(COUNTERS, "<u2")
 
 
@@ -505,8 +506,8 @@ def _shared_anchors(spark: SparkSession, prefixes: DataFrame) -> DataFrame:
         if last is not None and taken == last.column(0)[0].as_py():
             yield last
 
-    at = prefixes.select("prefix", "node", "size").mapInArrow(replicate, schema)
-    return write_table(spark, at.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(shared, schema), "shared-anchors")
+    at = prefixes.select("prefix", "node", "size").mapInArrow(lean(replicate), schema)
+    return write_table(spark, at.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(lean(shared), schema), "shared-anchors")
 
 
 def _possible(pairs: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
@@ -526,7 +527,7 @@ def _possible(pairs: DataFrame, sketches: DataFrame, similarity: float) -> DataF
                 bits.append(int(np.bitwise_count(folded(x, octets) ^ folded(y, octets)).sum()))
             yield batch.select([0, 1]).filter(pa.array(np.array(bits, np.int64) <= most))
 
-    return pairs.join(side("a", "a"), "a").join(side("b", "b"), "b").select("a", "b", "na", "nb", "pa", "pb").mapInArrow(run, "a bigint, b bigint")
+    return pairs.join(side("a", "a"), "a").join(side("b", "b"), "b").select("a", "b", "na", "nb", "pa", "pb").mapInArrow(lean(run), "a bigint, b bigint")
 
 
 def _shingle_sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
@@ -539,7 +540,7 @@ def _shingle_sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame
 
     text = F.coalesce("text", F.lit(""))
     texts = docs.select(F.xxhash64(text).alias("key"), text.alias("text")).where(hash_filter(wanted.select("key"))(F.col("key")))
-    return texts.join(wanted, "key").dropDuplicates(["node"]).select("node", "text").mapInArrow(run, "node bigint, hashes array<bigint>")
+    return texts.join(wanted, "key").dropDuplicates(["node"]).select("node", "text").mapInArrow(lean(run), "node bigint, hashes array<bigint>")
 
 
 def _alike(spark: SparkSession, docs: DataFrame, nodes: DataFrame, pairs: DataFrame, sketches: DataFrame, shingle: int, similarity: float) -> DataFrame:
@@ -592,7 +593,7 @@ def similar_groups(spark: SparkSession, docs: DataFrame, shingle: int = 5, simil
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(nodes), prints, pa.ListArray.from_arrays(pa.array(ends), flat)], ["doc_id", "key", "node", "fp", "hashes"])
 
     own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("key"), "text")
-    sets = write_table(spark, own.mapInArrow(hashed, "doc_id bigint, key bigint, node bigint, fp bigint, hashes array<bigint>"), "shingle-sets")
+    sets = write_table(spark, own.mapInArrow(lean(hashed), "doc_id bigint, key bigint, node bigint, fp bigint, hashes array<bigint>"), "shingle-sets")
     rarity = frequency_classes(spark, sets)
 
     def prints(batches):
@@ -605,7 +606,7 @@ def similar_groups(spark: SparkSession, docs: DataFrame, shingle: int = 5, simil
             yield pa.RecordBatch.from_arrays([batch.column(0), *cols], ["node", "size", "parity", "prefix", *names])
 
     schema = f"node bigint, size int, parity binary, prefix array<bigint>, {', '.join(f'{w} bigint' for w in names)}"
-    distinct = write_table(spark, sets.select("node", "hashes").mapInArrow(prints, schema).dropDuplicates(["node"]), "sketches")
+    distinct = write_table(spark, sets.select("node", "hashes").mapInArrow(lean(prints), schema).dropDuplicates(["node"]), "sketches")
     nodes = write_table(spark, sets.select("doc_id", "key", "node", "fp"), "nodes")
     drop_table(spark, sets)  # few texts are looked at again
     covered = _covering_pairs(spark, nodes, bits)
@@ -614,7 +615,7 @@ def similar_groups(spark: SparkSession, docs: DataFrame, shingle: int = 5, simil
     def met(at, take):
         at = at.select("anchor", "node", "size", "place", "root", *names).repartition("anchor").sortWithinPartitions("anchor", "size", "node")
         batches = _in_runs(lambda cols: (pa.RecordBatch.from_arrays(x, ["anchor", "a", "b"]) for x in take(_Group(cols, similarity))))
-        return at.mapInArrow(batches, "anchor bigint, a bigint, b bigint").distinct()
+        return at.mapInArrow(lean(batches), "anchor bigint, a bigint, b bigint").distinct()
 
     wide = distinct.select("node", *names)
     found = write_table(spark, met(shared.join(wide, "node").withColumn("root", F.col("node")), _Group.nearest), "near-pairs")

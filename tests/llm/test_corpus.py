@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from helpers import awkward, empty, prose, table
 from strandwise.llm import bloom, op3_sharding, op5_simhash, op6_mixing, op7_quality, op8_decontaminate
 from strandwise.llm.components import connected_components
+from strandwise.llm.tokenize import tokenizer_path
 
 # ---- components and SimHash ----
 
@@ -202,6 +203,17 @@ def test_covering_pairs_are_part_of_the_groups(spark):
     assert_groups(spark, scattered_edits())
 
 
+def test_near_dedup_releases_what_its_workers_hold(spark, monkeypatch):
+    workers = pytest.importorskip("strandwise.llm.workers")
+    held = workers.encoder(tokenizer_path(), 2, False)
+    assert list(workers.lean(lambda batches: (b for b in batches))([1, 2])) == [1, 2]
+    assert workers.encoder.cache_info().currsize == 0 and workers.encoder(tokenizer_path(), 2, False) is not held
+    wrapped = []
+    monkeypatch.setattr(op5_simhash, "lean", lambda run: wrapped.append(run.__name__) or workers.lean(run))
+    op5_simhash.similar_groups(spark, table(spark, scattered_edits()[:12])).count()
+    assert {"hashed", "count", "merge", "prints", "replicate", "shared", "run"} <= set(wrapped)
+
+
 # ---- sharding ----
 
 
