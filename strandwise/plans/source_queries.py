@@ -61,7 +61,7 @@ def src_bam(spark, d):
         system.create_dir(path, recursive=True)
         name = f"{path}/part-{TaskContext.get().partitionId():05d}-{TaskContext.get().taskAttemptId()}.bam"
         n = 0
-        with system.open_output_stream(name, compression=None) as raw, gzip.GzipFile(fileobj=raw, mode="wb", mtime=0) as out:
+        with system.open_output_stream(name, compression=None) as raw, gzip.GzipFile(fileobj=raw, mode="wb", mtime=0, compresslevel=6) as out:
             out.write(records.bam_header())
             for batch in batches:
                 for k, read, seq, qual in zip(*(c.to_pylist() for c in batch.columns), strict=True):

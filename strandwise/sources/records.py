@@ -7,26 +7,50 @@ import io
 import struct
 from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 SCHEMA = "name string, comment string, seq string, qual string"
 SPLIT_BYTES = 64 << 20
+#: Splits in a row that one task reads, and what a task holds of a file and hands on at a time.
+TASK_BYTES, BLOCK_BYTES = 16 << 20, 1 << 20
 BASES16 = "=ACMGRSVTWYHKDBN"
 COMPLEMENT = str.maketrans("ACGTacgt", "TGCAtgca")
 
 
+def _system(path: str) -> tuple[fs.FileSystem, str]:
+    return fs.FileSystem.from_uri(path if "://" in path or not path.startswith("file:") else path.replace("file:", "file://", 1)) if ":" in path else (fs.LocalFileSystem(), path)
+
+
 def _files(path: str) -> tuple[fs.FileSystem, list[fs.FileInfo]]:
-    system, root = fs.FileSystem.from_uri(path if "://" in path or not path.startswith("file:") else path.replace("file:", "file://", 1)) if ":" in path else (fs.LocalFileSystem(), path)
+    system, root = _system(path)
     info = system.get_file_info(root)
     found = [info] if info.type == fs.FileType.File else system.get_file_info(fs.FileSelector(root, recursive=True))
     return system, sorted((f for f in found if f.type == fs.FileType.File and not f.base_name.startswith(("_", "."))), key=lambda f: f.path)
 
 
+def _batches(records: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+    """Records as Arrow batches of some ``BLOCK_BYTES`` of text, so a task holds one of them whatever a record's size."""
+    schema = pa.schema([(c.split()[0], pa.string()) for c in SCHEMA.split(", ")])
+    held, size = [], 0
+    for record in records:
+        held.append(record)
+        size += 2 * len(record[2]) + 64
+        if size >= BLOCK_BYTES:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*held, strict=True)], schema=schema)
+            held, size = [], 0
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*held, strict=True)], schema=schema)
+
+
 class Part(InputPartition):
-    def __init__(self, url: str, path: str, start: int, end: int):
-        self.url, self.path, self.start, self.end = url, path, start, end
+    """Splits of ``step`` bytes, one after another, from ``start`` to ``end``."""
+
+    def __init__(self, url: str, path: str, start: int, end: int, step: int):
+        self.url, self.path, self.start, self.end, self.step = url, path, start, end, step
 
 
 class _Reader(DataSourceReader):
@@ -41,8 +65,9 @@ class _Reader(DataSourceReader):
         out = []
         for f in files:
             step = self.bytes if self.split else max(f.size, 1)
-            out += [Part(self.url, f.path, a, min(a + step, f.size)) for a in range(0, f.size, step)]
-        return out or [Part(self.url, "", 0, 0)]
+            run = step * max(1, TASK_BYTES // step)
+            out += [Part(self.url, f.path, a, min(a + run, f.size), step) for a in range(0, f.size, run)]
+        return out or [Part(self.url, "", 0, 0, 1)]
 
 
 def four_line_records(lines: Iterator[bytes]) -> Iterator[tuple]:
@@ -75,36 +100,40 @@ class FastqReader(_Reader):
 
     split = True
 
-    def read(self, part: Part) -> Iterator[tuple]:
+    def read(self, part: Part) -> Iterator[pa.RecordBatch]:
         if not part.path:
             return
-        system, _ = _files(part.url)
+        system, _ = _system(part.url)
         with system.open_input_file(part.path) as file:
-            size = file.size()
-
-            def boundary(at: int) -> int:
-                if at in (0, size):
-                    return at
-                width = 1 << 16
-                while True:
-                    file.seek(at - 1)
-                    block = file.read(width)
-                    if (found := first_record(block)) is not None:
-                        return at - 1 + found
-                    if at - 1 + width >= size:
-                        return size
-                    width *= 4
-
-            start, end = boundary(part.start), boundary(part.end)
-            file.seek(start)
-            yield from four_line_records(io.BytesIO(file.read(end - start)).__iter__() if end - start < SPLIT_BYTES * 2 else self._lines(file, end))
+            yield from _batches(x for start in range(part.start, part.end, part.step) for x in self._records(file, start, min(start + part.step, part.end)))
+
+    @classmethod
+    def _records(cls, file, start: int, end: int) -> Iterator[tuple]:
+        """The records that begin in one split."""
+        size = file.size()
+
+        def boundary(at: int) -> int:
+            if at in (0, size):
+                return at
+            width = 1 << 16
+            while True:
+                file.seek(at - 1)
+                block = file.read(width)
+                if (found := first_record(block)) is not None:
+                    return at - 1 + found
+                if at - 1 + width >= size:
+                    return size
+                width *= 4
+
+        first, last = boundary(start), boundary(end)
+        file.seek(first)
+        yield from four_line_records(cls._lines(file, last))
 
     @staticmethod
     def _lines(file, end: int) -> Iterator[bytes]:
         held = b""
         while file.tell() < end:
-            held += file.read(min(1 << 22, end - file.tell()))
-            *lines, held = held.split(b"\n")
+            *lines, held = (held + file.read(min(BLOCK_BYTES, end - file.tell()))).split(b"\n")
             yield from lines
         if held:
             yield held
@@ -140,20 +169,27 @@ def mixed_records(lines: Iterator[str]) -> Iterator[tuple]:
 
 
 class FastxReader(_Reader):
-    def read(self, part: Part) -> Iterator[tuple]:
+    def read(self, part: Part) -> Iterator[pa.RecordBatch]:
         if not part.path:
             return
-        system, _ = _files(part.url)
+        system, _ = _system(part.url)
         with system.open_input_stream(part.path) as raw:
-            yield from mixed_records(x.rstrip("\r\n") for x in io.TextIOWrapper(raw, newline="\n"))
+            yield from _batches(mixed_records(x.rstrip("\r\n") for x in io.TextIOWrapper(raw, newline="\n")))
+
+
+#: The code of each letter, and the two letters of each byte of packed bases.
+_CODE16 = np.full(256, 15, np.uint8)
+_CODE16[np.frombuffer(BASES16.encode(), np.uint8)] = _CODE16[np.frombuffer(BASES16.lower().encode(), np.uint8)] = np.arange(16)
+_LETTERS = np.frombuffer("".join(a + b for a in BASES16 for b in BASES16).encode(), np.uint8).reshape(256, 2)
 
 
 def bam_record(name: str, flag: int, seq: str, qual: str | None) -> bytes:
     """One unmapped record in the binary layout."""
-    codes = [BASES16.index(c) if c in BASES16 else 15 for c in seq.upper()]
-    packed = bytes((codes[i] << 4) | (codes[i + 1] if i + 1 < len(codes) else 0) for i in range(0, len(codes), 2))
+    codes = np.zeros(len(seq) + len(seq) % 2, np.uint8)
+    codes[: len(seq)] = _CODE16[np.frombuffer(seq.encode("ascii", "replace"), np.uint8)]
+    packed = ((codes[::2] << 4) | codes[1::2]).tobytes()
     body = struct.pack("<iiBBHHHiiii", -1, -1, len(name) + 1, 0, 4680, 0, flag, len(seq), -1, -1, 0) + name.encode() + b"\0" + packed
-    body += bytes(ord(c) - 33 for c in qual) if qual else b"\xff" * len(seq)
+    body += (np.frombuffer(qual.encode("ascii"), np.uint8) - np.uint8(33)).tobytes() if qual else b"\xff" * len(seq)
     return struct.pack("<i", len(body)) + body
 
 
@@ -176,8 +212,8 @@ def bam_reads(stream, which: int = 7) -> Iterator[tuple]:
             continue
         at = 32 + l_name + 4 * n_cigar
         packed, q = body[at : at + (l_seq + 1) // 2], body[at + (l_seq + 1) // 2 :][:l_seq]
-        seq = "".join(BASES16[(packed[i >> 1] >> (0 if i & 1 else 4)) & 15] for i in range(l_seq))
-        qual = None if q[:1] == b"\xff" else "".join(chr(min(x + 33, 126)) for x in q)
+        seq = _LETTERS[np.frombuffer(packed, np.uint8)].tobytes()[:l_seq].decode()
+        qual = None if q[:1] == b"\xff" else (np.minimum(np.frombuffer(q, np.uint8), 93) + np.uint8(33)).tobytes().decode()
         if flag & 0x10:
             seq, qual = seq[::-1].translate(COMPLEMENT), qual and qual[::-1]
         yield body[32 : 31 + l_name].decode(), str(kind), seq, qual
@@ -188,12 +224,12 @@ class BamReader(_Reader):
         super().__init__(options)
         self.which = int(options.get("which", 7))
 
-    def read(self, part: Part) -> Iterator[tuple]:
+    def read(self, part: Part) -> Iterator[pa.RecordBatch]:
         if not part.path:
             return
-        system, _ = _files(part.url)
+        system, _ = _system(part.url)
         with system.open_input_stream(part.path, compression=None) as raw, gzip.GzipFile(fileobj=raw) as stream:  # block gzip is concatenated members
-            yield from bam_reads(stream, self.which)
+            yield from _batches(bam_reads(stream, self.which))
 
 
 def _source(label: str, reader_class: type) -> type[DataSource]:

@@ -48,3 +48,19 @@ def test_store(spark):
         store.stage("a", spark.range(1))
     store.drop()
     assert not store.staged("a")
+
+
+def test_a_task_reads_many_splits_and_hands_on_small_batches(tmp_path):
+    rows = [(f"r{i}", "c", "A" * 3000, "I" * 3000) for i in range(1500)]
+    (tmp_path / "x.fq").write_text("".join(f"@{n} {c}\n{s}\n+\n{q}\n" for n, c, s, q in rows))
+    reader = records.FastqReader({"path": str(tmp_path / "x.fq"), "split_bytes": "50000"})
+    parts = reader.partitions()
+    assert len(parts) == 1  # 181 splits of 50,000 bytes were as many tasks
+    batches = list(reader.read(parts[0]))
+    assert [tuple(r.values()) for b in batches for r in b.to_pylist()] == rows
+    assert max(b.nbytes for b in batches) < 2 * records.BLOCK_BYTES
+
+
+def test_bam_letters_and_quality_bounds():
+    body = records.bam_header() + records.bam_record("x", 0, "=acmgrsvtwyhkdbn?", "!" * 8 + "~" * 9) + records.bam_record("e", 0, "", None)
+    assert list(records.bam_reads(io.BytesIO(body))) == [("x", "4", "=ACMGRSVTWYHKDBNN", "!" * 8 + "~" * 9), ("e", "4", "", "")]
