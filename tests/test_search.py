@@ -148,3 +148,11 @@ def test_union_of_all_three_seeding_passes(spark, sf_dir):
     assert sorted(tuple(r) for r in rows if r[0] < 3) == sorted(map(tuple, QUERIES["seeds_union"](spark, sf_dir).select("pass", *cols).collect()))
     third = sorted(tuple(r[1:]) for r in rows if r[0] == 3)
     assert third and third == sorted(map(tuple, QUERIES["seed3"](spark, sf_dir).select(*cols).collect()))
+
+
+def test_whole_searches_read_no_index_and_shuffle_no_contigs(spark, sf_dir, monkeypatch):
+    from strandwise.plans import search_queries
+
+    monkeypatch.setattr(search_queries, "session_index", None)  # these queries built an index of all k-mers before
+    for name in ("exact_match", "aln", "fetch_seq", "mate_rescue", "sam_mem"):
+        assert QUERIES[name](spark, sf_dir).count() > 0
