@@ -188,3 +188,27 @@ def test_merge(overlap):
     r1, r2 = whole[:60], A._turned(whole[-60:])
     assert merge_pair(r1, None, r2, None)[:2] == (0, whole)
     assert merge_pair(dna(r, 60), None, dna(r, 60), None)[0] != 0
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_many_pairs_at_once_equal_one_at_a_time(seed):
+    r = random.Random(seed)
+    pairs = []
+    for i in range(300):
+        t = dna(r, r.choice([20, 45]), "ACGTN" if i % 5 == 0 else "AC" if i % 7 == 0 else "ACGT")
+        q = mutated(r, t[r.randrange(8) :], 0.3)[:18].ljust(18, "A") if i % 3 else dna(r, 18)
+        pairs.append((K.encode(q), K.encode(t)))
+    sc = SC if seed % 2 else K.Scoring(a=5, b=4, o_del=2, e_del=17, o_ins=2, e_ins=17) if seed % 4 else K.Scoring(zdrop=4, o_del=2, o_ins=3)
+    w, h0 = r.choice([3, 50]), r.choice([5, 20])
+    assert K.in_lanes(pairs, lambda q, t: K.local_lanes(q, t, sc)) == [K.local(q, t, sc) for q, t in pairs]
+    assert K.in_lanes(pairs, lambda q, t: K.extend_lanes(q, t, h0, w, sc)) == [K.extend(q, t, h0, w, sc) for q, t in pairs]
+    assert K.in_lanes(pairs, lambda q, t: K.global_lanes(q, t, w, sc)) == [K.global_(q, t, w, sc) for q, t in pairs]
+
+
+def test_overlap_scores_are_those_of_each_length():
+    from strandwise.operators.merge import SCORING, _overlap_scores
+
+    r, mat = random.Random(3), SCORING.matrix()
+    for na, nb in ((60, 60), (40, 55), (55, 40), (1, 1)):
+        a, b = K.encode(dna(r, na, "ACGTN")), K.encode(dna(r, nb))
+        assert _overlap_scores(a, b).tolist() == [0, *(int(mat[b[:n], a[na - n :]].sum()) for n in range(1, min(na, nb)))]
